@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import mixing, substring_dedup, suffix_dedup
+from . import mixing, near_dedup, substring_dedup, suffix_dedup
 
 QUERIES = {
+    "op5_hyperminhash_dedup": near_dedup.query,
     "op3_pivotal_mixing": mixing.query,
     "op4_suffix_array_dedup": suffix_dedup.query,
     "op10_relative_lempel_ziv": substring_dedup.query,

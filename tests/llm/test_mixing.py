@@ -50,7 +50,9 @@ def test_near_targets_and_unbiased(spark):
     r = random.Random(3)
     rows = [(i, "w " * (r.randint(1, 60) if r.random() < 0.998 else 3000), r.choice(["hot"] * 6 + ["a", "b", "c", "d", None]), "s", 1) for i in range(6000)]
     for t, w, b in check(spark, rows).values():
-        assert abs(t - w) <= 60, (t, w, b)
+        assert abs(t - w) <= b / 2 + 1, (t, w, b)
+        if b < 3000:
+            assert abs(t - w) <= 30, (t, w, b)
 
 
 def test_empty(spark):
