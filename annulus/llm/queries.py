@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, near_dedup, substring_dedup, suffix_dedup
+from . import mixing, near_dedup, quality, secrets, substring_dedup, suffix_dedup, toxicity
 
 QUERIES = {
+    "op1_additive_quality": quality.query,
+    "op7_noisy_or_toxicity": toxicity.query,
+    "op8_novelty_secrets": secrets.query,
     "op5_hyperminhash_dedup": near_dedup.query,
     "op3_pivotal_mixing": mixing.query,
     "op4_suffix_array_dedup": suffix_dedup.query,
