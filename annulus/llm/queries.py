@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, near_dedup, quality, secrets, substring_dedup, suffix_dedup, toxicity
+from . import decontaminate, mixing, near_dedup, quality, secrets, substring_dedup, suffix_dedup, suffix_tree_lm, topk_search, toxicity
 
 QUERIES = {
+    "op2_norm_bucketed_topk": topk_search.query,
+    "op6_latent_decontamination": decontaminate.query,
+    "op9_suffix_tree_lm": suffix_tree_lm.query,
     "op1_additive_quality": quality.query,
     "op7_noisy_or_toxicity": toxicity.query,
     "op8_novelty_secrets": secrets.query,
@@ -13,4 +16,4 @@ QUERIES = {
     "op4_suffix_array_dedup": suffix_dedup.query,
     "op10_relative_lempel_ziv": substring_dedup.query,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_norm_bucketed_topk": topk_search.ORACLE}
