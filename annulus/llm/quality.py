@@ -32,7 +32,7 @@ from ._text import LOWER, ids_column, slices, split_words, word_hashes
 
 SAMPLE = 16_000
 BINS, LEAVES, ROUNDS, PAIR_ROUNDS, PAIRS, RATE = 32, 4, 60, 30, 6, 0.15
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 FEATURES = ("log_bytes", "log_words", "mean_word", "long_words", "short_words", "upper", "digits", "punctuation", "symbols", "non_ascii", "space", "lines", "distinct_words", "top_run", "repeats_next", "ends_symbol", "sentences", "commas", "bare_symbols", "capitals", "vowels")
 _byte = lambda chars: np.isin(np.arange(256), np.frombuffer(chars, np.uint8)).astype(np.float32)

@@ -27,13 +27,13 @@ from pyspark.sql import functions as F
 from ._learn import fold, labelled_sample
 from ._text import BYTE_VALUE, LOWER, U64, Texts, ids_column, mix, prefix, range_hash, slices, split_words
 
-SAMPLE = 8_000
+SAMPLE = 4_000
 SPACE = 1 << 18
 BEGINNINGS = (4, 5)
 EPOCHS = 60
 BIAS = -8.0
 NEGATIVE = 10.0  # weight of clean documents, which outnumber toxic ones outside the sample
-SLICE = 1 << 20
+SLICE = 1 << 18
 _END = np.isin(np.arange(256), np.frombuffer(b".!?\n", np.uint8))
 _TRIM = np.isin(np.arange(256), np.frombuffer(b".,;:!?\"'()[]", np.uint8))
 
@@ -91,12 +91,12 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray, np.ndarray]], y: np.ndarray, l1
         return model
     ids = np.concatenate([b[0] for b in bags])
     shift = np.concatenate([[0], np.cumsum([len(b[2]) for b in bags])])
-    sentence = np.concatenate([b[1] + s for b, s in zip(bags, shift)])
+    sentence = np.concatenate([b[1] + s for b, s in zip(bags, shift)]).astype(np.int32)
     doc = np.concatenate([b[2] for b in bags])
     n_s, n_d = len(doc), len(y)
     # features of a single document are left out
     flat, where = ids.ravel(), np.repeat(sentence, ids.shape[1])
-    spread = np.unique(doc[where] * SPACE + flat) % SPACE
+    spread = np.unique(doc[where].astype(np.int64) * SPACE + flat) % SPACE
     use = (np.bincount(spread, minlength=SPACE) >= 2)[flat]
     flat, where = flat[use], where[use]
     w, seen = model.weight, np.zeros(SPACE)
@@ -130,7 +130,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int =
     bags, ys, at = [], [], 0
     for r in _bags(labelled_sample(docs, labels.withColumn(label, F.col(label).cast("int")), label, parts, held, sample)).collect():
         y = np.frombuffer(bytes(r["y"]), np.int8)
-        bags.append((np.frombuffer(bytes(r["ids"]), np.int32).astype(np.int64).reshape(-1, 1 + len(BEGINNINGS)), np.frombuffer(bytes(r["sentence"]), np.int32).astype(np.int64), np.frombuffer(bytes(r["doc"]), np.int32).astype(np.int64) + at))
+        bags.append((np.frombuffer(bytes(r["ids"]), np.int32).reshape(-1, 1 + len(BEGINNINGS)), np.frombuffer(bytes(r["sentence"]), np.int32).astype(np.int64), np.frombuffer(bytes(r["doc"]), np.int32).astype(np.int64) + at))
         ys.append(y)
         at += len(y)
     return fit(bags, np.concatenate(ys).astype(np.float64) if ys else np.zeros(0))
