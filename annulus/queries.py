@@ -28,6 +28,11 @@ def first_queries(rows: DataFrame, n: int = 10) -> DataFrame:
     return rows.where(F.col("id") < n).select(F.col("id").alias("qid"), F.col("v").alias("qv"))
 
 
+def stated_queries(rows: DataFrame) -> DataFrame:
+    """The whole query set of a search: every row whose id is divisible by 50."""
+    return rows.where(F.col("id") % 50 == 0).select(F.col("id").alias("qid"), F.col("v").alias("qv"))
+
+
 def register(name: str, oracle: str | None = None):
     def add(f):
         QUERIES[name] = f
@@ -156,6 +161,39 @@ def reverse_edges(s, d):
     return search.with_reverse(g, 4).select("src", "dst", "pos")
 
 
+# The searches over their whole query set; the ten-query forms above are held against SQL, these against brute force in tests.
+for _m in ("l2", "ip", "cos"):
+    register(f"knn_{_m}_all_queries")(lambda s, d, m=_m: _out(search.batch_search(vectors(s, d), stated_queries(vectors(s, d)), 10, m)))
+for _n, (_f, _w) in _FILTERS.items():
+    register(f"{_n}_all_queries")(lambda s, d, f=_f: _out(search.batch_search(vectors(s, d), stated_queries(vectors(s, d)), 10, "l2", f)))
+
+
+@register("knn_payload_all_queries")
+def knn_payload_all(s, d):
+    v = vectors(s, d)
+    return search.with_payload(search.batch_search(v, stated_queries(v), 5), v, ["label"]).select("qid", "id", "rk", "label")
+
+
+@register("recall_of_exact_all_queries")
+def recall_of_exact_all(s, d):
+    v = vectors(s, d)
+    t = search.batch_search(v, stated_queries(v), 10)
+    return search.recall(t, t, 10)
+
+
+@register("sq8_knn_rerank_all_queries")
+def sq8_knn_all(s, d):
+    v = vectors(s, d)
+    return _out(statistics.quantised_search(v, stated_queries(v), 10, 255, 60))
+
+
+@register("cells_full_probe_all_queries")
+def cells_full_all(s, d):
+    v = vectors(s, d)
+    c = v.where("id % 50 = 7").select(F.col("id").alias("cell"), F.col("v").alias("c"))
+    return _out(statistics.cell_search(v, statistics.assign_cells(v, c), c, stated_queries(v), 10, 10**6))
+
+
 def documents(s, d):
     return s.read.parquet(f"{d}/documents.parquet")
 
@@ -245,5 +283,5 @@ def duplicate_keys(s, d):
 
 
 def flagship(s: SparkSession, d: str) -> DataFrame:
-    """Filtered nearest neighbours of ten queries."""
-    return QUERIES["hybrid_in"](s, d)
+    """Filtered nearest neighbours of the whole query set."""
+    return QUERIES["hybrid_in_all_queries"](s, d)
