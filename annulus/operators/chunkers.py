@@ -1,10 +1,16 @@
-"""Text chunkers for retrieval, as array expressions."""
+"""Text chunkers for retrieval, as array expressions; pieces of a character length are merged in Python."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Python's classes, which its pattern `(?<!\w\.\w.)(?<![A-Z][a-z]\.)(?<=\.|\?|\!|。|？|！)\s*` means, in Java's syntax
+_WORD = r"[\p{L}\p{N}_]"
+_SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+SENTENCE_END = rf"(?<=[.?!。？！])(?<!{_WORD}\.{_WORD}[^\n])(?<![A-Z][a-z]\.){_SPACE}*"
+
 
 def grouped(parts: Column, size: int, overlap: int, joiner: str) -> Column:
     if size <= 0 or overlap >= size:
@@ -17,6 +23,17 @@ def sentences(text: str) -> Column:
     return F.filter(F.transform(F.split(F.col(text), "[.?!。？！]"), lambda x: F.trim(x)), lambda s: s != "")
 
 
+def whole_sentences(text: str) -> Column:
+    """Sentences with their terminators; no cut after abbreviations such as `Dr.` and `e.g.`."""
+    trimmed = F.transform(F.split(F.col(text), SENTENCE_END), lambda x: F.regexp_replace(x, rf"\A{_SPACE}+|{_SPACE}+\z", ""))
+    return F.filter(trimmed, lambda s: s != "")
+
+
+def whole_sentence_chunks(df: DataFrame, text: str, size: int = 3, overlap: int = 0) -> DataFrame:
+    # the array of one binds the sentences, which are else split again for every chunk
+    return df.withColumn("chunks", F.get(F.transform(F.array(whole_sentences(text)), lambda parts: grouped(parts, size, overlap, " ")), F.lit(0)))
+
+
 def sentence_chunks(df: DataFrame, text: str, size: int = 3, overlap: int = 0) -> DataFrame:
     return df.withColumn("chunks", grouped(sentences(text), size, overlap, " "))
 
@@ -25,8 +42,40 @@ def line_chunks(df: DataFrame, text: str, size: int, overlap: int = 0) -> DataFr
     return df.withColumn("chunks", grouped(F.filter(F.split(F.col(text), "\n"), lambda s: s != ""), size, overlap, "\n"))
 
 
+def merged_lines(text: str, size: int, overlap: int) -> list[str]:
+    """Lines joined up to `size` characters, a longer line alone; up to `overlap` characters of whole lines are repeated."""
+    chunks: list[str] = []
+    held: list[str] = []
+    total = 0
+
+    def emit():
+        if joined := "\n".join(held).strip():
+            chunks.append(joined)
+
+    for line in filter(None, text.split("\n")):
+        if held and total + len(line) + 1 > size:
+            emit()
+            while held and (total > overlap or total + len(line) + 1 > size):
+                total -= len(held.pop(0)) + (1 if held else 0)
+        held.append(line)
+        total += len(line) + (1 if len(held) > 1 else 0)
+    emit()
+    return chunks
+
+
+def fix_size_chunks(df: DataFrame, text: str, size: int, overlap: int = 0) -> DataFrame:
+    if size <= 0 or not 0 <= overlap <= size:
+        raise ValueError("overlap must not be larger than the chunk size")
+
+    @F.pandas_udf("array<string>")
+    def chunks(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else merged_lines(t, size, overlap))
+
+    return df.withColumn("chunks", chunks(F.col(text)))
+
+
 def get_chunker(name: str):
-    found = {"sentence": sentence_chunks, "fix_size": line_chunks}
+    found = {"sentence": whole_sentence_chunks, "fix_size": fix_size_chunks}
     if name not in found:
         raise ValueError(f"Unsupported chunk model: {name}")
     return found[name]

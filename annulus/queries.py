@@ -267,6 +267,12 @@ def sentence_chunk(s, d):
     return c.select("doc_id", F.size("chunks").cast("long").alias("n"), F.get("chunks", F.lit(0)).alias("first_chunk"))
 
 
+@register("sentence_chunk_whole")
+def sentence_chunk_whole(s, d):
+    """All chunks; DuckDB's patterns have no look-behind, so this is held against Python's re in tests."""
+    return chunkers.whole_sentence_chunks(documents(s, d), "text", 3, 1).select("doc_id", "chunks")
+
+
 @register("sortable_keys", "SELECT doc_id, lpad(lower(to_hex(CAST(doc_id AS HUGEINT) + 9223372036854775808)), 16, '0') AS k FROM documents")
 def sortable_keys(s, d):
     return documents(s, d).select("doc_id", sortable_hex("doc_id").alias("k"))
