@@ -1,17 +1,17 @@
 """Block tables and exchanges of packed arrays.
 
 Documents are written once as blocks of about ``BLOCK_BYTES`` of text (one
-compressed binary value per row) into the shared folder.  Every later step is
-a map over blocks, an exchange of ``(bucket, block, payload)`` rows whose
-payloads are packed arrays, or a join of replies back to their block.  Blocks
-pre-aggregate before they send, so a key that holds a third of all rows
-reaches its bucket at most once per block, and the written tables survive the
-loss of executors.
+compressed binary value per row) into the shared folder, partitioned and
+bucketed by block: later joins of replies to their block move the replies only.
+Every step is a map over blocks, an exchange of ``(key, block, payload)`` rows
+whose payloads are packed arrays, or such a join.  Blocks pre-aggregate before
+they send, so a key that holds a third of all rows reaches its bucket at most
+once per block, and the written tables survive the loss of executors.
 """
 
 from __future__ import annotations
 
-import os
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from ._text import Texts, slices
 
 BLOCK_BYTES = 2 << 20
+MOST_TASKS = 8192  # tasks of an exchange; beyond, a task takes several buckets one after another
 ROWS = "key long, block long, kind int, payload binary"
 _SCHEMA = pa.schema([("key", pa.int64()), ("block", pa.int64()), ("kind", pa.int32()), ("payload", pa.binary())])
 
@@ -50,6 +51,25 @@ def written(df: DataFrame, path: str, name: str, compression: str = "zstd") -> D
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def bucketed(df: DataFrame, path: str, name: str, n: int) -> DataFrame:
+    """Write rows that are hash-partitioned by block into n buckets, one file each; joins on block then leave them in place."""
+    spark, table = df.sparkSession, f"annulus_{uuid.uuid4().hex}"
+    df.write.option("compression", "uncompressed").option("path", f"{path}/{name}").format("parquet").bucketBy(n, "block").sortBy("block").saveAsTable(table)
+    out = spark.table(table)
+    spark.sql(f"drop table {table}")  # an external table's files stay, and the plan knows them
+    return out
+
+
+def dropped(spark: SparkSession, path: str, *names: str) -> None:
+    """Delete written tables that no later step reads, and let Spark's cleaner remove the shuffle files of finished steps."""
+    jvm = spark.sparkContext._jvm
+    for name in names:
+        at = jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    gc.collect()
+    jvm.System.gc()
+
+
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays as one compressed value; unpack returns them with their types."""
     parts = [np.int64(len(arrays)).tobytes()]
@@ -70,17 +90,37 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
+def planes(x: np.ndarray, size: int) -> np.ndarray:
+    """The low `size` bytes of 64-bit numbers, byte by byte: what compresses well of sorted or small ones."""
+    return np.ascontiguousarray(np.ascontiguousarray(x, dtype="<u8").view(np.uint8).reshape(-1, 8)[:, :size].T).ravel()
+
+
+def from_planes(x: np.ndarray, size: int) -> np.ndarray:
+    out = np.zeros((len(x) // size, 8), dtype=np.uint8)
+    out[:, :size] = x.reshape(size, -1).T
+    return out.view("<u8").ravel().astype(np.uint64)
+
+
 def pack_texts(t: Texts) -> bytes:
-    return pack(t.ids, np.diff(t.off), t.data)
+    return pack(t.ids, t.null.astype(np.uint8), np.diff(t.off), t.data)
 
 
 def unpack_texts(blob: bytes) -> Texts:
-    ids, size, data = unpack(blob)
-    return Texts(ids, np.concatenate([[0], np.cumsum(size)]).astype(np.int64), data)
+    ids, null, size, data = unpack(blob)
+    return Texts(ids, null.astype(bool), np.concatenate([[0], np.cumsum(size)]).astype(np.int64), data)
+
 
+def joined_texts(held: list[Texts]) -> Texts:
+    off = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(t.off) for t in held]))]).astype(np.int64)
+    return Texts(np.concatenate([t.ids for t in held]), np.concatenate([t.null for t in held]), off, np.concatenate([t.data for t in held]))
 
-def write_blocks(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents as written rows (block, n_docs, n_bytes, payload)."""
+
+def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
+    return docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.lit(0))).first()[0]
+
+
+def write_blocks(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", make: Callable[[Texts], bytes] = pack_texts) -> tuple[DataFrame, int, int]:
+    """The documents as bucketed rows (block, payload), payload = make(Texts); the number of blocks, about, and the bytes of text."""
 
     def to_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, n = TaskContext.get().partitionId() << 32, 0
@@ -89,9 +129,7 @@ def write_blocks(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
         def flush():
             nonlocal held, size, n
-            off = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(t.off) for t in held]))]).astype(np.int64)
-            t = Texts(np.concatenate([t.ids for t in held]), off, np.concatenate([t.data for t in held]))
-            row = pa.record_batch([pa.array([base + n], pa.int64()), pa.array([len(t)], pa.int64()), pa.array([len(t.data)], pa.int64()), pa.array([pack_texts(t)], pa.binary())], names=["block", "n_docs", "n_bytes", "payload"])
+            row = pa.record_batch([pa.array([base + n], pa.int64()), pa.array([make(joined_texts(held))], pa.binary())], names=["block", "payload"])
             held, size, n = [], 0, n + 1
             return row
 
@@ -104,14 +142,11 @@ def write_blocks(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         if held:
             yield flush()
 
+    n_bytes = text_bytes(docs, text_col)
+    n_blocks = max(1, -(-n_bytes // BLOCK_BYTES))
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return written(src.mapInArrow(to_blocks, "block long, n_docs long, n_bytes long, payload binary"), path, "blocks", "uncompressed")
-
-
-def block_stats(blocks: DataFrame) -> tuple[int, int]:
-    """Number of blocks and bytes of text."""
-    r = blocks.agg(F.count("*").alias("n"), F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("b")).first()
-    return r["n"], r["b"]
+    n = parts(n_blocks)
+    return bucketed(src.mapInArrow(to_blocks, "block long, payload binary").repartition(n, "block"), path, "blocks", n), n_blocks, n_bytes
 
 
 def rows_batch(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
@@ -131,44 +166,41 @@ def map_blocks(blocks: DataFrame, fn: Callable[[int, bytes], Iterable[tuple[int,
     return blocks.select("block", "payload").mapInArrow(run, ROWS)
 
 
-def reduce_buckets(rows: DataFrame, n: int, fn: Callable[[list[tuple[int, int, bytes]]], Iterable[tuple[int, int, int, bytes]]]) -> DataFrame:
-    """fn gets all (block, kind, payload) of one bucket 0..n-1; each bucket is one partition."""
+def reduce_buckets(rows: DataFrame, n: int, fn: Callable[[int, list[tuple[int, int, bytes]]], Iterable[tuple[int, int, int, bytes]]]) -> DataFrame:
+    """fn gets each key 0..n-1 with all its (block, kind, payload), sorted; a task takes its keys one after another."""
+    tasks = min(n, MOST_TASKS)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, bytes]] = []
+        at, held = None, []
         for batch in batches:
-            held += zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist())
+            for key, *row in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                if key != at:
+                    if held:
+                        yield rows_batch(list(fn(at, held)))
+                    at, held = key, []
+                held.append(tuple(row))
         if held:
-            held.sort(key=lambda r: r[:2])
-            yield rows_batch(list(fn(held)))
+            yield rows_batch(list(fn(at, held)))
 
-    return rows.repartitionById(n, F.col("key").cast("int")).select("block", "kind", "payload").mapInArrow(run, ROWS)
+    return rows.repartitionById(tasks, (F.col("key") % tasks).cast("int")).sortWithinPartitions("key", "block", "kind").select("key", "block", "kind", "payload").mapInArrow(run, ROWS)
 
 
-def join_blocks(blocks: DataFrame, replies: list[DataFrame], n: int, fn: Callable[[int, bytes, list[tuple[int, int, bytes]]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    """fn gets each block with the (kind, key, payload) replies sent to it; record batches of the schema come out."""
+def join_blocks(blocks: DataFrame, replies: list[DataFrame], fn: Callable[[int, bytes, list[tuple[int, int, bytes]]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
+    """fn gets each block with the (kind, key, payload) replies sent to it; record batches of the schema come out. Only the replies move."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, text, got = None, None, []
-        for batch in batches:
-            for i in range(batch.num_rows):
-                block = batch.column(1)[i].as_py()
-                if block != at:
-                    if text is not None:
-                        yield from fn(at, text, got)
-                    at, text, got = block, None, []
-                kind, value = batch.column(2)[i].as_py(), batch.column(3)[i].as_py()
-                if kind < 0:
-                    text = value
-                else:
-                    got.append((kind, batch.column(0)[i].as_py(), value))
-        if text is not None:
-            yield from fn(at, text, got)
-
-    rows = blocks.select(F.lit(0).cast("long").alias("key"), "block", F.lit(-1).alias("kind"), "payload")
-    for r in replies:
-        rows = rows.unionByName(r.select("key", "block", "kind", "payload"))
-    return rows.repartition(n, "block").sortWithinPartitions("block", "kind").mapInArrow(run, schema)
+    empty = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        got = sorted(zip(right.column("kind").to_pylist(), right.column("key").to_pylist(), right.column("payload").to_pylist()), key=lambda r: r[:2])
+        out = [b for block, payload in zip(left.column("block").to_pylist(), left.column("payload").to_pylist()) for b in fn(block, payload, got)]
+        return pa.Table.from_batches(out) if out else empty.empty_table()
+
+    got = replies[0].select("key", "block", "kind", "payload")
+    for r in replies[1:]:
+        got = got.unionByName(r.select("key", "block", "kind", "payload"))
+    return blocks.select("block", "payload").groupBy("block").cogroup(got.groupBy("block")).applyInArrow(run, schema)
 
 
 def parts(n_blocks: int, per: int = 4) -> int:
@@ -176,11 +208,18 @@ def parts(n_blocks: int, per: int = 4) -> int:
     return max(1, min(n_blocks, 12), -(-n_blocks // per))
 
 
-def by_bucket(key: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the elements by bucket (stable) and the n + 1 offsets of buckets."""
-    order = np.argsort(key, kind="stable")
-    return order, np.searchsorted(key[order], np.arange(n + 1))
+class Buckets:
+    """Elements by their bucket: only buckets that occur are visited, however many there are."""
+
+    def __init__(self, key: np.ndarray):
+        self.order = np.argsort(key, kind="stable")
+        self.keys = key[self.order]
 
+    def __iter__(self) -> Iterator[tuple[int, np.ndarray]]:
+        first = np.flatnonzero(np.concatenate([[True], self.keys[1:] != self.keys[:-1]])) if len(self.keys) else np.zeros(0, dtype=np.int64)
+        for a, b in zip(first.tolist(), np.append(first[1:], len(self.keys)).tolist()):
+            yield int(self.keys[a]), self.order[a:b]
 
-__all__ = [n for n in dir() if not n.startswith("_")]
-os  # noqa: B018 - kept for callers that join paths
+    def of(self, bucket: int) -> np.ndarray:
+        a, b = np.searchsorted(self.keys, [bucket, bucket + 1])
+        return self.order[a:b]

@@ -8,9 +8,9 @@ limited by what either can give or take, makes the document's copies integral
 (or empties or fills the pool).  A group ends with at most one fractional
 document; these residuals meet in groups of the next level, up to one group per
 source, so only ids and numbers move and a source that holds a third of all rows
-is spread over many groups.  The last residual of a source is rounded to the
-nearest copy.  Words are conserved at every transfer, so a source misses its
-target by at most half of its last document, usually one of the smallest.
+is spread over many groups.  The last residual of a source is drawn with its
+probability.  Words are conserved at every transfer, so a source misses its
+target by less than its last document, usually one of the smallest.
 
 Random numbers are hashes of (seed, level, id, size): reruns agree.
 
@@ -39,7 +39,6 @@ def word_count(text) -> F.Column:
 
 def source_targets(sizes: DataFrame, path: str, weights: tuple[int, ...], most: int) -> DataFrame:
     """(source, source_size, n, sid, weight, target) by source."""
-    spark = sizes.sparkSession
     src = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     order = F.col("source").asc_nulls_last()
     src = written(src.repartitionByRange(order).sortWithinPartitions(order).withColumn("at", F.monotonically_increasing_id()), path, "sources")
@@ -49,22 +48,33 @@ def source_targets(sizes: DataFrame, path: str, weights: tuple[int, ...], most:
     ranked = src.join(F.broadcast(ahead), part == F.col("part")).withColumn("sid", F.col("ahead") + F.col("at").bitwiseAND((1 << 33) - 1))
     w = F.element_at(F.array(*map(F.lit, weights)), (F.col("sid") % len(weights) + 1).cast("int"))
     ranked = written(ranked.select("source", "source_size", "n", "sid", w.cast("long").alias("weight")), path, "weights")
-    total, share = ranked.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
-    rate, full = (total / share if share else 0.0), -1
+    # each source stops at the rate `full`; the rate that spends the total is enclosed ever closer, 64 parts a job
+    full = F.col("source_size") * most / F.col("weight")
+    total, low, high = ranked.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.lit(0.0), F.coalesce(F.max(full), F.lit(0.0))).first()
     while True:
-        above = F.col("weight") * F.lit(rate) > F.col("source_size") * most
-        n, held, share = ranked.agg(F.count_if(above), F.coalesce(F.sum(F.when(above, F.col("source_size") * most)), F.lit(0)), F.coalesce(F.sum(F.when(~above, F.col("weight"))), F.lit(0))).first()
-        if n == full or not share:
+        steps = [low + (high - low) * k / 64 for k in range(65)]
+        spent = [F.coalesce(F.sum(F.least(F.col("weight") * F.lit(x), (F.col("source_size") * most).cast("double"))), F.lit(0.0)) for x in steps]
+        got = ranked.agg(*spent).first()
+        k = max((k for k in range(65) if got[k] <= total), default=0)
+        below, above = steps[k], steps[min(k + 1, 64)]
+        inside = (full > F.lit(below)) & (full < F.lit(above))
+        n, held, share = ranked.agg(F.count_if(inside), F.coalesce(F.sum(F.when(full <= F.lit(below), F.col("source_size") * most)), F.lit(0)), F.coalesce(F.sum(F.when(full > F.lit(below), F.col("weight"))), F.lit(0))).first()
+        if not n or not share or below >= above or (below, above) == (low, high):
+            rate = (total - held) / share if share else below
             break
-        rate, full = (total - held) / share, n
+        low, high = below, above
     target = F.least(F.col("weight") * F.lit(rate), (F.col("source_size") * most).cast("double"))
-    del spark
     return ranked.withColumn("target", target)
 
 
+def draw(seed: int, level: int) -> F.Column:
+    """A number in [0, 1) of a unit at a level."""
+    return F.pmod(F.xxhash64(F.lit(seed), F.lit(level), "doc_id", "size"), F.lit(1 << 52)) / F.lit(float(1 << 52))
+
+
 def _settle(units: DataFrame, level: int, seed: int) -> DataFrame:
     """One level of the tree: groups (sid, at) of units (.., size, p); p is integral in all but one of a group's units."""
-    u = F.pmod(F.xxhash64(F.lit(seed), F.lit(level), "doc_id", "size"), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    u = draw(seed, level)
     unit = F.struct("size", u.alias("u"), "doc_id", "p", "whole", "source_size", "target", "source")
     grouped = units.groupBy("sid", "at").agg(F.sort_array(F.collect_list(unit), asc=False).alias("all"))
     zero = F.lit(0.0)
@@ -132,7 +142,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int
     while True:
         now = written(_settle(units, level, seed), path, f"level{level}")
         if left <= 1:
-            out.append(now.withColumn("p", F.round("p")))
+            out.append(now.withColumn("p", F.when(open_, (draw(seed, level + 1) < F.col("p")).cast("double")).otherwise(F.col("p"))))
             break
         out.append(now.where(~open_))
         units = now.where(open_).withColumn("at", F.floor(F.col("at") / FAN))
@@ -143,13 +153,14 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents that the mix takes, with their number of copies. Repeated (doc_id, source, size) rows get their decisions in the order of their texts."""
-    keys = ["doc_id", "source", "size"]
-    chosen = mix_sources(docs, **options).groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("_copies"))
-    sized = docs.drop("copies").withColumn("size", word_count(F.col("text")))
-    ranked = sized.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy("text")))
-    both = ranked.join(chosen, functools.reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]))
-    return both.withColumn("copies", F.element_at("_copies", F.col("_k"))).where("copies > 0").select(*[c for c in docs.columns if c != "copies"], "copies")
+    """The documents that the mix takes, all columns, with their number of copies (a column of that name is replaced). Rows equal in id, source and size get their decisions in the order of their texts."""
+    columns = [c for c in docs.columns if c != "copies"]
+    # all columns travel in one struct, so no name of theirs can clash
+    rows = docs.select(F.col("doc_id").cast("long").alias("_i"), F.col("source").cast("string").alias("_s"), word_count(F.col("text")).alias("_n"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"))
+    ranked = rows.withColumn("_k", F.row_number().over(Window.partitionBy("_i", "_s", "_n").orderBy("_row.text")))
+    chosen = mix_sources(docs, **options).groupBy(F.col("doc_id").alias("_i2"), F.col("source").alias("_s2"), F.col("size").alias("_n2")).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("_copies"))
+    both = ranked.join(chosen, F.col("_i").eqNullSafe(F.col("_i2")) & F.col("_s").eqNullSafe(F.col("_s2")) & (F.col("_n") == F.col("_n2")))
+    return both.withColumn("_c", F.element_at("_copies", F.col("_k"))).where("_c > 0").select("_row.*", F.col("_c").alias("copies"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,8 @@ words).  Training boosts shallow trees in cycles: each round visits every
 feature with a small tree of at most LEAVES bins fitted to the logistic
 gradient, so every feature ends as one lookup table over its bins.  Then pairs
 of features are ranked by how much a joint grid reduces the residual, and the
-best are boosted the same way as two-dimensional tables.  A score is the
+best are boosted in cycles by trees of two levels, a cut of one feature and a
+cut of the other on either side, into two-dimensional tables.  A score is the
 logistic of a sum of table entries: bins and additions, no trees.
 
 Only texts are inputs; labels of the held-out fold are never read.  Training
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._learn import fold, labelled_sample
-from ._text import LOWER, ids_column, slices, split_words, word_hashes
+from ._text import LOWER, slices, split_words, word_hashes
 
 SAMPLE = 16_000
 BINS, LEAVES, ROUNDS, PAIR_ROUNDS, PAIRS, RATE = 32, 4, 60, 30, 6, 0.15
@@ -127,6 +128,35 @@ def _tree(grad: np.ndarray, hess: np.ndarray, leaves: int) -> np.ndarray:
     return out
 
 
+def _pair_tree(grad: np.ndarray, hess: np.ndarray) -> np.ndarray:
+    """Newton step by cell of the best tree of two levels over a grid: one cut along an axis, then one of the other axis on each side."""
+
+    def halves(g: np.ndarray, h: np.ndarray):
+        """Best cut of each row: its gain and place (0: none)."""
+        cg, ch = np.cumsum(g, axis=1), np.cumsum(h, axis=1)
+        all_g, all_h = cg[:, -1:], ch[:, -1:]
+        low, high = np.zeros_like(cg), np.zeros_like(cg)
+        low[:, 1:], high[:, 1:] = cg[:, :-1], ch[:, :-1]
+        gain = low**2 / (high + 5.0) + (all_g - low) ** 2 / (all_h - high + 5.0)
+        at = gain.argmax(axis=1)
+        return gain[np.arange(len(at)), at], at
+
+    best = (-1.0, None)
+    for axis in (0, 1):
+        g, h = (grad, hess) if axis == 0 else (grad.T, hess.T)
+        top_g, top_h = np.cumsum(g, axis=0), np.cumsum(h, axis=0)
+        up, up_at = halves(top_g, top_h)
+        down, down_at = halves(g.sum(axis=0) - top_g, h.sum(axis=0) - top_h)
+        m = int((up + down)[:-1].argmax())
+        if (up + down)[m] > best[0]:
+            out = np.zeros_like(g)
+            for rows, c in ((slice(0, m + 1), up_at[m]), (slice(m + 1, None), down_at[m])):
+                for cols in (slice(0, c), slice(c, None)):
+                    out[rows, cols] = g[rows, cols].sum() / (h[rows, cols].sum() + 5.0)
+            best = ((up + down)[m], out if axis == 0 else out.T)
+    return best[1]
+
+
 def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> AdditiveModel:
     d = x.shape[1]
     edges = [np.unique(np.quantile(x[:, k], np.linspace(0, 1, BINS + 1)[1:-1])) for k in range(d)]
@@ -163,9 +193,9 @@ def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> AdditiveModel:
         for i, j, t in model.pairs:
             g, h = step()
             c = cell(i, j)
-            s = RATE * np.bincount(c, g, side * side) / (np.bincount(c, h, side * side) + 5.0)
-            t += s.reshape(side, side)
-            z += s[c]
+            s = RATE * _pair_tree(np.bincount(c, g, side * side).reshape(side, side), np.bincount(c, h, side * side).reshape(side, side))
+            t += s
+            z += s.ravel()[c]
     return model
 
 
@@ -198,7 +228,7 @@ def score_documents(docs: DataFrame, model: AdditiveModel, parts: int = 4, held:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for t, a, b in slices(batch, "doc_id", "text", SLICE):
-                yield pa.record_batch([ids_column(t.ids), batch.column(2).slice(a, b - a), pa.array(model.score(features(t.data, t.off)))], names=["doc_id", "held_out", "score"])
+                yield pa.record_batch([t.id_column(), batch.column(2).slice(a, b - a), pa.array(model.score(features(t.data, t.off)))], names=["doc_id", "held_out", "score"])
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), (fold(id_col, parts) == held).alias("held_out"))
     return src.mapInArrow(run, "doc_id long, held_out boolean, score double")

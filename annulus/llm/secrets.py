@@ -6,7 +6,8 @@ zstandard, primed with a dictionary of code and identifiers and with the text
 around the token, still needs many bytes for it.  The marginal size is
 compressed(context + token) - compressed(context).
 
-Defined cases: a null text is empty; documents without findings keep a row with
+Defined cases: a null text is empty; bytes that aren't UTF-8 count as one U+FFFD
+each in the scan, and texts without findings pass `redact` as they are; documents without findings keep a row with
 empty spans (base_sha256 of nothing); offsets are code points; repeated rows
 are scanned each; null ids are kept; further columns are ignored; an empty table
 gives no rows.  Texts of any length are scanned whole.
@@ -14,6 +15,7 @@ gives no rows.  Texts of any length are scanned whole.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
@@ -68,9 +70,19 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty, around: int = 64, least: float = 0.6) -> list[tuple[int, int, int]]:
     """Tokens outside base spans, in a sensitive context, that take at least `least` bytes a character."""
     out = []
+    # the base spans' union, as sorted disjoint ranges
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, _, b in base:
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
     for m in TOKEN.finditer(text):
         s, e = m.span()
-        if any(a < e and s < b for a, _, b in base):
+        k = bisect.bisect_left(starts, e)  # ranges before k start before the token's end
+        if k and ends[k - 1] > s:
             continue
         before, after = text[max(0, s - around) : s], text[e : e + around // 2]
         if not SENSITIVE.search(before) and not SENSITIVE.search(after):
@@ -87,6 +99,16 @@ def digest(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
+def readable(text: pa.Array) -> pa.Array:
+    """The texts, null as empty and bytes that aren't UTF-8 as U+FFFD."""
+    text = pc.fill_null(text, "")
+    try:
+        text.validate(full=True)
+        return text
+    except pa.ArrowInvalid:
+        return pa.array([x.decode("utf-8", "replace") for x in text.cast(pa.binary()).to_pylist()], pa.string())
+
+
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dictionary: bytes = DICTIONARY) -> DataFrame:
     """One row per document: doc_id, n_assign, n_access, n_hex, n_novel, base_sha256, spans."""
     none = hashlib.sha256(b"").hexdigest()
@@ -94,7 +116,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         novelty = Novelty(dictionary)
         for batch in batches:
-            text = pc.fill_null(batch.column(1), "")
+            text = readable(batch.column(1))
             may = pc.or_(pc.match_substring_regex(text, MAY_BASE), pc.match_substring_regex(text, MAY_NOVEL))
             n = batch.num_rows
             count = [[0] * n for _ in KINDS]
@@ -120,7 +142,7 @@ def redact(docs: DataFrame, mask: str = "[SECRET]", text_col: str = "text", dict
         novelty = Novelty(dictionary)
         for batch in batches:
             text = batch.column(at)
-            full = pc.fill_null(text, "")
+            full = readable(text)
             may = pc.or_(pc.match_substring_regex(full, MAY_BASE), pc.match_substring_regex(full, MAY_NOVEL))
             new = {}
             for i in pc.indices_nonzero(may).to_pylist():
@@ -135,10 +157,10 @@ def redact(docs: DataFrame, mask: str = "[SECRET]", text_col: str = "text", dict
                     new[i] = "".join(out) + t[end:]
             columns = list(batch.columns)
             if new:
-                values = text.to_pylist()
+                values = text.cast(pa.binary()).to_pylist()
                 for i, t in new.items():
-                    values[i] = t
-                columns[at] = pa.array(values, text.type)
+                    values[i] = t.encode()
+                columns[at] = pa.array(values, pa.binary()).view(pa.string())
                 if counted is not None:
                     n = columns[counted].to_pylist()
                     for i, t in new.items():

@@ -4,7 +4,8 @@ Every byte that a string of ``window`` bytes covers is removed if that string
 also starts anywhere else, in the same document or another; strings are judged
 on the input.  Suffixes that start at content-chosen anchors are sorted by
 merge sort; prefix polynomial hashes and binary search find common extensions,
-which are verified on the bytes (see ``_anchored``).
+which are verified on the bytes; whole contexts of equal text are joined by a
+digest of their bytes before they would be sorted (see ``_anchored``).
 
 Defined cases: a null text is empty; an empty text, or one shorter than the
 window, keeps all its bytes; a repeated row counts as another place, so texts
@@ -22,14 +23,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from . import _anchored as A
-from ._text import BYTE_VALUE, Texts, ids_column
+from ._text import BYTE_VALUE, Texts
 
 GRAM = 50
 DENSITY = 0.016  # anchors a byte in prose; only sizes the buckets
 
 
-def _elements(t: Texts):
-    return t.data, BYTE_VALUE[t.data], t.off
+def _elements(t: Texts) -> A.Elements:
+    return A.Elements(BYTE_VALUE[t.data], t.off, t.data)
+
+
+def _parse(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    return data
 
 
 def _value_of(rows: np.ndarray) -> np.ndarray:
@@ -44,9 +49,10 @@ def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def remove_repeats(docs: DataFrame, window: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (binary: the bytes that stay), spans (array of [start, end) byte ranges removed)."""
-    spec = A.Windows(window, max(1, min(GRAM, window // 4)), False, _elements)
+    spec = A.Windows(window, max(1, min(GRAM, window // 4)), False, _elements, _parse, _value_of)
 
-    def finish(t: Texts, data, off, mask):
+    def finish(t: Texts, el: A.Elements, found: A.Found):
+        data, off, mask = t.data, t.off, found.mask
         size, gone, count, sha, kept, spans = [], [], [], [], [], []
         for i in range(len(t)):
             a, b = off[i], off[i + 1]
@@ -60,11 +66,11 @@ def remove_repeats(docs: DataFrame, window: int = 200, id_col: str = "doc_id", t
             kept.append(k)
             spans.append([{"start": int(x), "end": int(y)} for x, y in zip(s, e)])
         yield pa.record_batch(
-            [ids_column(t.ids), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(count, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.binary()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
+            [t.id_column(), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(count, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.binary()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
             names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"],
         )
 
-    return A.search(spec, _value_of, docs, id_col, text_col, DENSITY, finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<start:bigint,end:bigint>>")
+    return A.search(spec, docs, id_col, text_col, DENSITY, finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<start:bigint,end:bigint>>")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

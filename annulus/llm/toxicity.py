@@ -7,7 +7,8 @@ gradient of the noisy-or tells the sentences apart, and the same weights then
 locate the offending sentences.
 
 Only texts are inputs; labels of the held-out fold are never read.  Training
-takes a bounded sample of labelled documents (SAMPLE, half of each class).
+takes a bounded sample of labelled documents (SAMPLE, half of each class, and
+SAMPLE_BYTES of text).
 
 Defined cases: null, empty and blank texts have no sentences and score 0; with
 one class or no labels every score is 0 or the model's noisy-or of the bias;
@@ -25,9 +26,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._learn import fold, labelled_sample
-from ._text import BYTE_VALUE, LOWER, U64, Texts, ids_column, mix, prefix, range_hash, slices, split_words
+from ._text import BYTE_VALUE, LOWER, U64, Texts, mix, prefix, range_hash, slices, split_words
 
-SAMPLE = 4_000
+SAMPLE, SAMPLE_BYTES = 4_000, 32 << 20
 SPACE = 1 << 18
 BEGINNINGS = (4, 5)
 EPOCHS = 60
@@ -126,9 +127,9 @@ def _bags(df: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 3, held: int = 1, sample: int = SAMPLE) -> NoisyOr:
-    """Fit on the training fold. The driver gets the hashed words of at most `sample` documents."""
+    """Fit on the training fold. The driver gets the hashed words of at most `sample` documents and SAMPLE_BYTES of text."""
     bags, ys, at = [], [], 0
-    for r in _bags(labelled_sample(docs, labels.withColumn(label, F.col(label).cast("int")), label, parts, held, sample)).collect():
+    for r in _bags(labelled_sample(docs, labels.withColumn(label, F.col(label).cast("int")), label, parts, held, sample, SAMPLE_BYTES)).toLocalIterator():
         y = np.frombuffer(bytes(r["y"]), np.int8)
         bags.append((np.frombuffer(bytes(r["ids"]), np.int32).reshape(-1, 1 + len(BEGINNINGS)), np.frombuffer(bytes(r["sentence"]), np.int32).astype(np.int64), np.frombuffer(bytes(r["doc"]), np.int32).astype(np.int64) + at))
         ys.append(y)
@@ -152,7 +153,7 @@ def score_documents(docs: DataFrame, model: NoisyOr, parts: int = 3, held: int =
                 found: list[list[dict]] = [[] for _ in range(len(t))]
                 for k in bad.tolist():
                     found[doc[k]].append({"start": int(s[k] - t.off[doc[k]]), "end": int(e[k] - t.off[doc[k]]), "p": float(p[k])})
-                yield pa.record_batch([ids_column(t.ids), batch.column(2).slice(a, b - a), pa.array(d), pa.array(found, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())])))], names=["doc_id", "held_out", "score", "offending"])
+                yield pa.record_batch([t.id_column(), batch.column(2).slice(a, b - a), pa.array(d), pa.array(found, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())])))], names=["doc_id", "held_out", "score", "offending"])
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), (fold(id_col, parts) == held).alias("held_out"))
     return src.mapInArrow(run, "doc_id long, held_out boolean, score double, offending array<struct<start:bigint,end:bigint,p:double>>")
@@ -161,4 +162,4 @@ def score_documents(docs: DataFrame, model: NoisyOr, parts: int = 3, held: int =
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = score_documents(docs, train(docs, labels))
-    return scored.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"), F.size("offending").alias("n_offending"))
+    return scored.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"), F.size("offending").alias("n_offending"), "offending")

@@ -110,3 +110,73 @@ def test_suffix_sort_orders_and_verifies():
     # a useless hash must not change the result
     order, lcp = A.suffix_sort(rows, size, np.zeros_like(rows, dtype=np.uint64), group)
     assert [key(k) for k in order] == [key(k) for k in want] and (lcp == want_lcp).all()
+
+
+def thue_morse(n, a="a", b="b"):
+    s = a
+    while len(s) < n:
+        s += s.translate(str.maketrans(a + b, b + a))
+    return s
+
+
+def test_words_and_strings_that_fool_a_polynomial_hash(spark):
+    x, y = thue_morse(2048), thue_morse(2048, "b", "a")
+    tail = " ".join(f"w{k}" for k in range(12))
+    rows = [(1, f"{x} {tail}"), (2, f"{y} {tail}"), (3, f"{x} {tail}"), (2**63 - 1, f"{y} {tail} end"), (None, f"{y} {tail} end")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in substring_dedup.remove_factors(df).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()]
+    assert sorted(got, key=str) == brute10(rows, 13) and {r[0]: r[2] for r in got}[2] == 0
+    long = [(k, thue_morse(4096, *("ab" if k % 2 else "ba"))[k * 7 : k * 7 + 900]) for k in range(6)]
+    got = [tuple(r) for r in suffix_dedup.remove_repeats(spark.createDataFrame(long, "doc_id long, text string"), 256).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()]
+    assert sorted(got, key=str) == brute4(long, 256)
+
+
+def test_hot_grams_are_split(spark, monkeypatch):
+    from annulus.llm import _blocks as B
+
+    monkeypatch.setattr(B, "BLOCK_BYTES", 3000)
+    monkeypatch.setattr(A, "HOT", 5)
+    monkeypatch.setattr(A, "BUCKET_ROWS", 300)
+    r = random.Random(5)
+    shared = " ".join(f"p{k}" for k in range(30))
+    word = lambda: "".join(r.choice("abcdef") for _ in range(4))
+    rows = [(k, " ".join(word() for _ in range(r.randint(0, 9))) + " " + " ".join(shared.split()[r.randint(0, 3) : r.randint(20, 30)]) + " " + " ".join(word() for _ in range(r.randint(0, 9)))) for k in range(120)]
+    rows += rows[:6] + corpus(3, 20)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = [tuple(x) for x in suffix_dedup.remove_repeats(df, 60).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()]
+    assert sorted(got, key=str) == brute4(rows, 60)
+    got = [tuple(x) for x in substring_dedup.remove_factors(df, 13).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()]
+    assert sorted(got, key=str) == brute10(rows, 13)
+
+
+@pytest.mark.parametrize("block", [1 << 20, 700])
+def test_factors_are_a_greedy_parse_of_earlier_documents(spark, monkeypatch, block):
+    from annulus.llm import _blocks as B
+
+    monkeypatch.setattr(B, "BLOCK_BYTES", block)
+    rows = [(i, t) for i, t in {i: t for i, t in corpus(11, 80)}.items() if i is not None]
+    words = {i: WORD.findall((t or "").encode()) for i, t in rows}
+    W, first = 8, {}
+    for i in sorted(words):
+        for p in range(len(words[i]) - W + 1):
+            first.setdefault(tuple(words[i][p : p + W]), i)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    copied = 0
+    for r in substring_dedup.remove_factors(df, W).collect():
+        w, hit = words[r.doc_id], [False] * len(words[r.doc_id])
+        for p in range(len(w) - W + 1):
+            if first[tuple(w[p : p + W])] < r.doc_id:
+                hit[p] = True
+        seen = [False] * len(w)
+        for f, after in zip(r.factors, [*r.factors[1:], None]):
+            assert f.ref_doc < r.doc_id and f.end - f.start >= W
+            assert words[f.ref_doc][f.ref_start : f.ref_start + f.end - f.start] == w[f.start : f.end]  # a copy
+            for p in range(f.start, f.end - W + 1):
+                assert not seen[p]
+                seen[p] = True
+            # greedy: it ends where its place ends, or where the index has another place for the next window
+            if f.end < len(w) and hit[f.end - W + 1]:
+                assert after.start == f.end - W + 1 and (after.ref_doc, after.ref_start) != (f.ref_doc, f.ref_start + f.end - W + 1 - f.start)
+            copied += 1
+        assert seen == hit  # every window of the reference lies in one factor
+    assert copied > 50
