@@ -154,16 +154,16 @@ def rows_batch(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(k, pa.int64()), pa.array(b, pa.int64()), pa.array(t, pa.int32()), pa.array(p, pa.binary())], schema=_SCHEMA)
 
 
-def map_blocks(blocks: DataFrame, fn: Callable[[int, bytes], Iterable[tuple[int, int, int, bytes]]]) -> DataFrame:
-    """Rows (key, block, kind, payload) that fn gives for each block."""
+def map_blocks(blocks: DataFrame, fn: Callable[..., Iterable[tuple[int, int, int, bytes]]], columns: tuple[str, ...] = ("payload",)) -> DataFrame:
+    """Rows (key, block, kind, payload) that fn(block, *columns) gives for each block."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b, p in zip(batch.column(0), batch.column(1)):
-                if out := list(fn(b.as_py(), p.as_py())):
+            for i in range(batch.num_rows):
+                if out := list(fn(*(c[i].as_py() for c in batch.columns))):
                     yield rows_batch(out)
 
-    return blocks.select("block", "payload").mapInArrow(run, ROWS)
+    return blocks.select("block", *columns).mapInArrow(run, ROWS)
 
 
 def reduce_buckets(rows: DataFrame, n: int, fn: Callable[[int, list[tuple[int, int, bytes]]], Iterable[tuple[int, int, int, bytes]]]) -> DataFrame:
@@ -185,8 +185,8 @@ def reduce_buckets(rows: DataFrame, n: int, fn: Callable[[int, list[tuple[int, i
     return rows.repartitionById(tasks, (F.col("key") % tasks).cast("int")).sortWithinPartitions("key", "block", "kind").select("key", "block", "kind", "payload").mapInArrow(run, ROWS)
 
 
-def join_blocks(blocks: DataFrame, replies: list[DataFrame], fn: Callable[[int, bytes, list[tuple[int, int, bytes]]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    """fn gets each block with the (kind, key, payload) replies sent to it; record batches of the schema come out. Only the replies move."""
+def join_blocks(blocks: DataFrame, replies: list[DataFrame], fn: Callable[..., Iterable[pa.RecordBatch]], schema: str, columns: tuple[str, ...] = ("payload",)) -> DataFrame:
+    """fn(block, *columns, replies) gets each block with the (kind, key, payload) replies sent to it; record batches of the schema come out. Only the replies move."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -194,13 +194,13 @@ def join_blocks(blocks: DataFrame, replies: list[DataFrame], fn: Callable[[int,
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         got = sorted(zip(right.column("kind").to_pylist(), right.column("key").to_pylist(), right.column("payload").to_pylist()), key=lambda r: r[:2])
-        out = [b for block, payload in zip(left.column("block").to_pylist(), left.column("payload").to_pylist()) for b in fn(block, payload, got)]
+        out = [b for row in zip(*(left.column(c).to_pylist() for c in ("block", *columns))) for b in fn(*row, got)]
         return pa.Table.from_batches(out) if out else empty.empty_table()
 
     got = replies[0].select("key", "block", "kind", "payload")
     for r in replies[1:]:
         got = got.unionByName(r.select("key", "block", "kind", "payload"))
-    return blocks.select("block", "payload").groupBy("block").cogroup(got.groupBy("block")).applyInArrow(run, schema)
+    return blocks.select("block", *columns).groupBy("block").cogroup(got.groupBy("block")).applyInArrow(run, schema)
 
 
 def parts(n_blocks: int, per: int = 4) -> int:

@@ -116,7 +116,6 @@ def _matrix(dim: int, raw: list[bytes]) -> np.ndarray:
 
 def integral_vectors(vectors: DataFrame, scale: float, id_col: str, vector_col: str) -> DataFrame:
     """(vec_id, dim, norm, v): usable vectors as floor(scale * x), packed float64."""
-    v = F.transform(F.col(vector_col), lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("double"))
     bad = F.exists(F.col(vector_col), lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +128,6 @@ def integral_vectors(vectors: DataFrame, scale: float, id_col: str, vector_col:
             norm = [float(np.sqrt((flat[a:b] ** 2).sum())) for a, b in zip(cut[:-1], cut[1:])]
             yield pa.record_batch([batch.column(0), pa.array(size), pa.array(norm, pa.float64()), pa.array([flat[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())], names=["vec_id", "dim", "norm", "v"])
 
-    del v
     ok = F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & ~F.coalesce(bad, F.lit(True))
     return vectors.where(ok).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("x")).mapInArrow(pack, "vec_id long, dim long, norm double, v binary")
 
@@ -169,11 +167,9 @@ def top_products(vectors: DataFrame, every: int = 20, k: int = 20, scale: float
     first = {}
     for r in shape:
         first.setdefault(r["dim"], r["block"])
-    longest = {r["dim"]: [(x["block"], x["longest"]) for x in shape if x["dim"] == r["dim"]] for r in shape} if len(first) < 64 else None
-    if longest is None:
-        longest = {}
-        for r in shape:
-            longest.setdefault(r["dim"], []).append((r["block"], r["longest"]))
+    longest: dict[int, list[tuple[int, float]]] = {}
+    for r in shape:
+        longest.setdefault(r["dim"], []).append((r["block"], r["longest"]))
     # one bucket a dimension: at most 4,096 vectors each
     seed = {r["block"]: bytes(r["payload"]) for r in buckets.where(F.col("block").isin([int(b) for b in list(first.values())[:16]])).select("block", "payload").collect()} if first else {}
 
@@ -216,7 +212,7 @@ def top_products(vectors: DataFrame, every: int = 20, k: int = 20, scale: float
                 a, b, c = zip(*found)
                 yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64())], names=["query_id", "vec_id", "score"])
 
-    found = B.join_blocks(buckets, [sent], B.parts(n_buckets, 1), search, "query_id long, vec_id long, score long")
+    found = B.join_blocks(buckets, [sent], search, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id")))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

@@ -45,17 +45,6 @@ def test_lm_without_training_documents_and_empty(spark):
     assert {(x.n_tokens, x.n_known, x.train_tokens, x.base_score, x.score) for x in got} == {(3, 0, 0, 0.0, 0.0)}
 
 
-def test_tree_distributions_sum_to_one():
-    root = np.array([0.5, 0.3, 0.2])
-    t = L.Tree(root)
-    t.levels = [(np.array([1]), np.array([10]), np.array([0, 2]), np.array([4, 6])), (np.array([1 * 3 + 1]), np.array([5]), np.array([1]), np.array([5]))]
-    for code, depth in ((1, 1), (4, 2), (2, 1)):
-        assert abs(t.distribution(code, depth).sum() - 1) < 1e-12
-    s, off = np.array([1, 1, 0, 1, 2]), np.array([0, 3, 5])
-    p = t.probabilities(s, off)
-    assert p[0] == root[1] and abs(p[2] - t.distribution(4, 2)[0]) < 1e-12 and abs(p[4] - t.distribution(1, 1)[2]) < 1e-12
-
-
 @pytest.mark.parametrize("dim,stretch", [(8, 0.0), (16, 1.5)])
 def test_topk_matches_brute_force(spark, monkeypatch, dim, stretch):
     monkeypatch.setattr(K, "BUCKET", 64)
