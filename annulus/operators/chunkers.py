@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,10 +22,6 @@ def grouped(parts: Column, size: int, overlap: int, joiner: str) -> Column:
     return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0), n - 1, F.lit(size - overlap)), lambda i: F.array_join(F.slice(parts, i + 1, size), joiner)))
 
 
-def sentences(text: str) -> Column:
-    return F.filter(F.transform(F.split(F.col(text), "[.?!。？！]"), lambda x: F.trim(x)), lambda s: s != "")
-
-
 def whole_sentences(text: str) -> Column:
     """Sentences with their terminators; no cut after abbreviations such as `Dr.` and `e.g.`."""
     trimmed = F.transform(F.split(F.col(text), SENTENCE_END), lambda x: F.regexp_replace(x, rf"\A{_SPACE}+|{_SPACE}+\z", ""))
@@ -30,18 +29,10 @@ def whole_sentences(text: str) -> Column:
 
 
 def whole_sentence_chunks(df: DataFrame, text: str, size: int = 3, overlap: int = 0) -> DataFrame:
-    # the array of one binds the sentences, which are else split again for every chunk
+    """Chunks of `size` sentences with their terminators; the array of one binds the sentences, which are else split again for every chunk."""
     return df.withColumn("chunks", F.get(F.transform(F.array(whole_sentences(text)), lambda parts: grouped(parts, size, overlap, " ")), F.lit(0)))
 
 
-def sentence_chunks(df: DataFrame, text: str, size: int = 3, overlap: int = 0) -> DataFrame:
-    return df.withColumn("chunks", grouped(sentences(text), size, overlap, " "))
-
-
-def line_chunks(df: DataFrame, text: str, size: int, overlap: int = 0) -> DataFrame:
-    return df.withColumn("chunks", grouped(F.filter(F.split(F.col(text), "\n"), lambda s: s != ""), size, overlap, "\n"))
-
-
 def merged_lines(text: str, size: int, overlap: int) -> list[str]:
     """Lines joined up to `size` characters, a longer line alone; up to `overlap` characters of whole lines are repeated."""
     chunks: list[str] = []
@@ -75,7 +66,76 @@ def fix_size_chunks(df: DataFrame, text: str, size: int, overlap: int = 0) -> Da
 
 
 def get_chunker(name: str):
-    found = {"sentence": whole_sentence_chunks, "fix_size": fix_size_chunks}
+    found = {"sentence": whole_sentence_chunks, "fix_size": fix_size_chunks, "semantic": semantic_chunks}
     if name not in found:
         raise ValueError(f"Unsupported chunk model: {name}")
     return found[name]
+
+
+class HashEncoder:
+    """Deterministic stand-in for a sentence model: signed word and trigram hashes, normalised."""
+
+    def __init__(self, dim: int = 64):
+        self.dim = dim
+
+    def encode(self, texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), self.dim))
+        for row, text in zip(out, texts):
+            low = text.lower()
+            for part in [*low.split(), *(low[k : k + 3] for k in range(max(0, len(low) - 2)))]:
+                h = zlib.crc32(part.encode())
+                row[h % self.dim] += 1 if h >> 31 else -1
+        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+
+
+def semantic_cuts(vectors: np.ndarray, threshold: float, window: int) -> list[int]:
+    """Ends of chunks: after at least `window` sentences, where the means of the windows before and after differ (cosine below the threshold)."""
+    cuts, held = [], 0
+    for i in range(len(vectors)):
+        held += 1
+        if held >= window and i + 1 < len(vectors):
+            a, b = vectors[max(0, i + 1 - window) : i + 1].mean(axis=0), vectors[i + 1 : i + 1 + window].mean(axis=0)
+            n = np.linalg.norm(a) * np.linalg.norm(b)
+            if (float(a @ b / n) if n else 0.0) < threshold:
+                cuts.append(i + 1)
+                held = 0
+    return [*cuts, len(vectors)] if len(vectors) else []
+
+
+def semantic_chunks(df: DataFrame, text: str, size: int = 3, overlap: int = 0, threshold: float = 0.8, encoder=None) -> DataFrame:
+    """Runs of sentences (split at full stops) of one topic; `size` is the window. encoder: an object with encode(texts)."""
+    model = encoder or HashEncoder()
+
+    @F.pandas_udf("array<string>")
+    def chunks(texts: pd.Series) -> pd.Series:
+        def one(t):
+            if t is None:
+                return None
+            parts = [s.strip() + "." for s in t.split(".") if s.strip()]
+            cuts = semantic_cuts(model.encode(parts), threshold, size) if parts else []
+            return [" ".join(parts[a:b]) for a, b in zip([0, *cuts], cuts) if b > a]
+
+        return texts.map(one)
+
+    return df.withColumn("chunks", chunks(F.col(text)))
+
+
+EMBEDDERS: dict[str, object] = {"hash": HashEncoder}
+
+
+def get_embedder(name: str = "hash", **options):
+    """An encoder by the registered prefix of its name; models are registered in EMBEDDERS."""
+    for prefix, make in EMBEDDERS.items():
+        if name.lower().startswith(prefix):
+            return make(**options)
+    raise ValueError(f"Unsupported embedding model: {name}")
+
+
+def embedded(df: DataFrame, text: str, encoder=None, out: str = "v") -> DataFrame:
+    model = encoder or HashEncoder()
+
+    @F.pandas_udf("array<double>")
+    def vectors(texts: pd.Series) -> pd.Series:
+        return pd.Series(list(model.encode([t or "" for t in texts])), index=texts.index)
+
+    return df.withColumn(out, vectors(F.col(text)))

@@ -15,6 +15,7 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: `$ne`, `$not_in` and `$contains` are an extension of the dict form
 OPERATORS = {"$eq": "eq", "$gt": "gt", "$ge": "ge", "$lt": "lt", "$le": "le", "$in": "in", "$ne": "ne", "$not_in": "not_in", "$contains": "contains"}
 _KINDS = {"bigint": "long", "int": "long", "smallint": "long", "tinyint": "long", "double": "double", "float": "double", "string": "string", "boolean": "boolean"}
 
@@ -56,6 +57,28 @@ class Condition:
             out = F.when(nan, F.lit(self.op in ("ge", "le"))).otherwise(out)
         return F.coalesce(there & out, never)
 
+    def bare(self, fields: dict[str, tuple[Column, str]]) -> Column:
+        """The same rows where null counts as false: plain comparisons, which reach the scan."""
+        if self.name not in fields:
+            return F.lit(False)
+        c, kind = fields[self.name]
+        if self.op in ("in", "not_in"):
+            same = [v for v in self.value if kind_of(v) == kind and v == v]
+            if self.op == "in":
+                return c.isin(same) if same else F.lit(False)
+            return ~c.isin(same) if same else c.isNotNull()
+        if self.op == "contains":
+            return c.contains(self.value) if kind == "string" and isinstance(self.value, str) else F.lit(False)
+        if kind_of(self.value) != kind:
+            return c.isNotNull() if self.op == "ne" else F.lit(False)
+        v, nan = F.lit(self.value), self.value != self.value
+        if nan:
+            return c.isNotNull() if self.op in ("ne", "ge", "le") else F.lit(False)
+        out = {"eq": c == v, "ne": c != v, "gt": c > v, "ge": c >= v, "lt": c < v, "le": c <= v}[self.op]
+        if kind == "double" and self.op in ("gt", "le"):  # NaN is Spark's largest number
+            out = out & ~F.isnan(c) if self.op == "gt" else out | F.isnan(c)
+        return out
+
     @staticmethod
     def _equal(c: Column, kind: str, value: Any) -> Column:
         eq = c == F.lit(value)
@@ -88,6 +111,32 @@ class Filter:
         return functools.reduce(join, parts)
 
 
+    def bare(self, fields: dict[str, tuple[Column, str]]) -> Column:
+        if self.logic == "not" or not (self.conditions or self.filters):
+            return self.compile(fields)
+        join = (lambda a, b: a & b) if self.logic == "and" else (lambda a, b: a | b)
+        return functools.reduce(join, [x.bare(fields) for x in [*self.conditions, *self.filters]])
+
+    # named builders; each returns the filter
+    def add_eq(self, name: str, value: Any) -> "Filter":
+        return self.add(name, "eq", value)
+
+    def add_gt(self, name: str, value: Any) -> "Filter":
+        return self.add(name, "gt", value)
+
+    def add_ge(self, name: str, value: Any) -> "Filter":
+        return self.add(name, "ge", value)
+
+    def add_lt(self, name: str, value: Any) -> "Filter":
+        return self.add(name, "lt", value)
+
+    def add_le(self, name: str, value: Any) -> "Filter":
+        return self.add(name, "le", value)
+
+    def add_in(self, name: str, values: list) -> "Filter":
+        return self.add(name, "in", values)
+
+
 def from_dict(spec: dict) -> Filter:
     """`$or` beside other keys makes the whole dict a disjunction; `$and` doesn't change it."""
     out = Filter()
@@ -110,6 +159,32 @@ def from_dict(spec: dict) -> Filter:
 
 
 def predicate(df, spec: dict | Filter | None) -> Column:
-    """Predicate over the typed columns of a DataFrame; simple comparisons reach the scan."""
-    tree = spec if isinstance(spec, Filter) else from_dict(spec or {})
-    return tree.compile({n: (F.col(n), _KINDS[t]) for n, t in df.dtypes if t in _KINDS})
+    """Two-valued predicate over the typed columns of a DataFrame, for projections and under NOT."""
+    return tree_of(spec).compile(fields_of(df))
+
+
+def tree_of(spec: dict | Filter | None) -> Filter:
+    return spec if isinstance(spec, Filter) else from_dict(spec or {})
+
+
+def fields_of(df) -> dict[str, tuple[Column, str]]:
+    return {n: (F.col(n), _KINDS[t]) for n, t in df.dtypes if t in _KINDS}
+
+
+def matching(df, spec: dict | Filter | None):
+    """The rows that match; comparisons outside NOT are plain, so that the scan gets them."""
+    tree = tree_of(spec)
+    return df.where(tree.bare(fields_of(df))) if tree.conditions or tree.filters else df
+
+
+def matching_ids(df, ids, spec: dict | Filter | None, key: str = "id"):
+    """(key, matches) for each of a table of keys; unknown keys don't match."""
+    flagged = df.select(key, predicate(df, spec).alias("matches"))
+    return ids.join(flagged, key, "left").withColumn("matches", F.coalesce("matches", F.lit(False)))
+
+
+def allowed_values(left: list | None, right: list | None) -> list | None:
+    """Values that two EQ or IN conditions on a field leave; None is no condition."""
+    if left is None or right is None:
+        return right if left is None else left
+    return [v for v in left if any(type(v) is type(w) and v == w for w in right)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .filters import predicate
+from .filters import matching, predicate
 
 
 def repeated_keys(rows: DataFrame, key: str) -> DataFrame:
@@ -20,7 +20,20 @@ def insert(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     return table.unionByName(rows)
 
 
-def upsert(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+def last_of(rows: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """One row per key: the last by `order`. Without an order a key that repeats raises ValueError."""
+    if order is None:
+        clash = repeated_keys(rows, key).limit(1).collect()
+        if clash:
+            raise ValueError(f"Duplicate item_id: {clash[0][0]}")
+        return rows
+    rest = [c for c in rows.columns if c not in (key, order)]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(key, "_r.*")
+
+
+def upsert(table: DataFrame, rows: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """Replace or append; of rows with one key the last by `order` counts."""
+    rows = last_of(rows, key, order)
     return table.join(rows.select(key), key, "left_anti").unionByName(rows)
 
 
@@ -44,10 +57,34 @@ def replay(base: DataFrame, log: DataFrame, key: str, applied: int = -1) -> Data
 def filter_query(table: DataFrame, spec: dict, limit: int, order: str) -> DataFrame:
     if limit <= 0:
         raise ValueError("limit must be positive")
-    return table.where(predicate(table, spec)).orderBy(order).limit(limit)
+    return matching(table, spec).orderBy(order).limit(limit)
 
 
 def get_by_key(table: DataFrame, keys: list, key: str) -> DataFrame:
     """Rows in the order of the request; repeats repeat, misses are skipped."""
     ask = table.sparkSession.range(1).select(F.posexplode(F.array(*[F.lit(k) for k in keys])).alias("pos", key))
     return ask.join(table, key).orderBy("pos")
+
+
+def contains_key(table: DataFrame, value, key: str) -> bool:
+    return bool(table.where(F.col(key) == F.lit(value)).limit(1).count())
+
+
+def available(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The keys that the table doesn't have."""
+    return keys.select(key).join(table, key, "left_anti")
+
+
+def members_by_value(table: DataFrame, field: str, key: str, most: int = 128) -> DataFrame:
+    """(field, members) sorted keys by value; more than `most` values, or fewer than two, raise ValueError."""
+    n = table.select(field).where(F.col(field).isNotNull()).distinct().limit(most + 1).count()
+    if not 2 <= n <= most:
+        raise ValueError(f"{field} has {'more than ' + str(most) if n > most else n} values")
+    return table.where(F.col(field).isNotNull()).groupBy(field).agg(F.sort_array(F.collect_list(key)).alias("members"))
+
+
+def digest(table: DataFrame, columns: list[str], order: str) -> DataFrame:
+    """(rows, sha256) of a table's content, whatever its order: row digests are summed in an exact decimal."""
+    row = F.sha2(F.to_json(F.struct(order, *[c for c in columns if c != order])), 256)
+    part = [F.sum(F.conv(F.substring(row, 1 + 12 * k, 12), 16, 10).cast("decimal(38,0)")).alias(f"s{k}") for k in range(5)]
+    return table.agg(F.count("*").alias("rows"), *part).select("rows", F.sha2(F.concat_ws("-", "rows", *[F.col(f"s{k}").cast("string") for k in range(5)]), 256).alias("sha256"))

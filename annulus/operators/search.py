@@ -7,15 +7,21 @@ row groups and joined by an equi-join, so neither side is collected.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import distance
-from .filters import Filter, predicate
+from ..functions import METRICS, distance
+from .filters import Filter, matching
 
 QUERY_LIMIT = 4096
-GROUPS = 64
+GROUPS = 64  # at least, beyond QUERY_LIMIT queries
+BLOCK = 4096
 
 
 def top_k(df: DataFrame, k: int, group: str = "qid", dist: str = "dist", key: str = "id") -> DataFrame:
@@ -27,19 +33,119 @@ def top_k(df: DataFrame, k: int, group: str = "qid", dist: str = "dist", key: st
 
 
 def pairs(rows: DataFrame, queries: DataFrame) -> DataFrame:
-    """All (row, query) pairs of a stated query set."""
+    """All (row, query) pairs of a stated query set, as expressions need them."""
     n = queries.limit(QUERY_LIMIT + 1).count()
     if n <= QUERY_LIMIT:
         return rows.crossJoin(F.broadcast(queries))
-    blocks = queries.withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit(GROUPS - 1))))
-    return rows.withColumn("_g", F.pmod(F.xxhash64(*rows.columns[:1]), F.lit(GROUPS))).join(blocks, "_g").drop("_g")
+    groups = max(GROUPS, rows.sparkSession.sparkContext.defaultParallelism * 4)
+    blocks = queries.withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    return rows.withColumn("_g", F.pmod(F.xxhash64(*rows.columns[:1]), F.lit(groups))).join(blocks, "_g").drop("_g")
+
+
+def block_distances(metric: str, x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Distances (query, row) of matrix rows by one product."""
+    dots = q @ x.T
+    if metric == "l2":
+        return (q * q).sum(axis=1)[:, None] + (x * x).sum(axis=1)[None, :] - 2 * dots
+    if metric == "cos":
+        n = np.sqrt((q * q).sum(axis=1))[:, None] * np.sqrt((x * x).sum(axis=1))[None, :]
+        return np.where(n == 0, 0.0, -dots / np.where(n == 0, 1.0, n))
+    return -dots
+
+
+def pair_distances(metric: str, x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Distances of equally many rows, by the definition: equal vectors give equal numbers."""
+    if metric == "l2":
+        return ((x - q) ** 2).sum(axis=1)
+    dots = (x * q).sum(axis=1)
+    if metric == "cos":
+        n = np.sqrt((q * q).sum(axis=1)) * np.sqrt((x * x).sum(axis=1))
+        return np.where(n == 0, 0.0, -dots / np.where(n == 0, 1.0, n))
+    return -dots
+
+
+def best_of_block(ids: np.ndarray, x: np.ndarray, qid: np.ndarray, q: np.ndarray, k: int, metric: str, own: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, id, distance): per query the k first rows by (distance, id); own: a query's own id may be among them."""
+    out = []
+    for lo in range(0, len(qid), 256):
+        d = block_distances(metric, x, q[lo : lo + 256])
+        if not own:
+            d[qid[lo : lo + 256, None] == ids[None, :]] = np.inf
+        if len(ids) > k:
+            cut = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+            # products round: what is near the cut is compared by the definition
+            keep = d <= cut + 1e-9 * (1 + np.abs(cut)) + 1e-12 * np.abs(d[np.isfinite(d)]).max(initial=0)
+        else:
+            keep = np.ones(d.shape, dtype=bool)
+        i, j = np.nonzero(keep & np.isfinite(d))
+        exact = pair_distances(metric, x[j], q[lo + i])
+        order = np.lexsort((ids[j], exact, i))
+        i, j, exact = i[order], j[order], exact[order]
+        first = np.arange(len(i)) - np.searchsorted(i, i) < k
+        out.append((qid[lo + i[first]], ids[j[first]], exact[first]))
+    return tuple(np.concatenate([o[c] for o in out]) for c in range(3)) if out else (qid[:0], ids[:0], np.zeros(0))
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    flat = np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype=np.float64)
+    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
+def _packed(rows: DataFrame, id_col: str, v_col: str, name: str) -> DataFrame:
+    """(name, ids, v): rows by blocks of at most BLOCK, as packed arrays."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, n = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            for a in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(a, BLOCK)
+                yield pa.record_batch([pa.array([base + n]), pa.array([part.column(0).to_numpy().astype(np.int64).tobytes()], pa.binary()), pa.array([_matrix(part.column(1)).tobytes()], pa.binary())], names=[name, "ids", "v"])
+                n += 1
+
+    return rows.select(F.col(id_col).cast("long"), F.col(v_col).cast("array<double>")).mapInArrow(run, f"{name} long, ids binary, v binary")
+
+
+def block_search(rows: DataFrame, queries: DataFrame, k: int, metric: str, own: bool = True) -> DataFrame:
+    """(qid, id, dist): each block's best rows per query, by matrix products.
+
+    Up to QUERY_LIMIT queries (counted first) go to all tasks; more of them meet
+    the rows block by block, each pair of blocks in a task of its own.
+    """
+    schema = "qid long, id long, dist double"
+    rows, queries = rows.where(F.col("v").isNotNull()), queries.where(F.col("qv").isNotNull())
+    n = queries.limit(QUERY_LIMIT + 1).count()
+    if n <= QUERY_LIMIT:
+        got = queries.select(F.col("qid").cast("long"), F.col("qv").cast("array<double>")).toPandas()
+        qid, q = got["qid"].to_numpy(dtype=np.int64), np.array(got["qv"].tolist(), dtype=np.float64).reshape(n, -1)
+
+        def near(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows and len(qid):
+                    yield pa.record_batch([pa.array(c) for c in best_of_block(batch.column(0).to_numpy().astype(np.int64), _matrix(batch.column(1)), qid, q, k, metric, own)], names=["qid", "id", "dist"])
+
+        return rows.select(F.col("id").cast("long"), F.col("v").cast("array<double>")).mapInArrow(near, schema)
+
+    def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, v, qids, qv in zip(*(batch.column(c).to_pylist() for c in range(4))):
+                i, j = np.frombuffer(ids, np.int64), np.frombuffer(qids, np.int64)
+                yield pa.record_batch([pa.array(c) for c in best_of_block(i, np.frombuffer(v).reshape(len(i), -1), j, np.frombuffer(qv).reshape(len(j), -1), k, metric, own)], names=["qid", "id", "dist"])
+
+    left, right = _packed(rows, "id", "v", "rb"), _packed(queries, "qid", "qv", "qb").select("qb", F.col("ids").alias("qids"), F.col("v").alias("qv"))
+    both = left.crossJoin(right).repartition(F.col("rb"), F.col("qb"))
+    return both.select("ids", "v", "qids", "qv").mapInArrow(meet, schema)
 
 
 def batch_search(rows: DataFrame, queries: DataFrame, k: int, metric: str = "l2", where: dict | Filter | None = None) -> DataFrame:
     """(qid, id, dist, rk) for queries (qid, qv) over rows (id, v, further columns for the filter)."""
-    found = rows.where(predicate(rows, where)) if where is not None else rows
-    found = found.where(F.col("v").isNotNull()).select("id", "v")
-    d = pairs(found, queries.select("qid", "qv")).select("qid", "id", distance(metric, "v", "qv").alias("dist"))
+    if k <= 0:
+        raise ValueError("limit must be positive")
+    if metric not in METRICS:
+        raise ValueError(f"Unsupported metric: {metric}")
+    found = matching(rows, where).select("id", "v")
+    if dict(found.dtypes)["id"] in ("bigint", "int", "smallint", "tinyint"):
+        return top_k(block_search(found, queries.select("qid", "qv"), k, metric), k)
+    d = pairs(found.where(F.col("v").isNotNull()), queries.select("qid", "qv")).select("qid", "id", distance(metric, "v", "qv").alias("dist"))
     return top_k(d, k)
 
 
@@ -47,7 +153,7 @@ def single_search(rows: DataFrame, query: list[float], k: int, metric: str = "l2
     """(id, dist) of the k nearest; plans as a TakeOrderedAndProject."""
     if k <= 0:
         raise ValueError("limit must be positive")
-    found = rows.where(predicate(rows, where)) if where is not None else rows
+    found = matching(rows, where)
     q = F.array(*[F.lit(float(x)) for x in query])
     return found.select("id", distance(metric, "v", q).alias("dist")).orderBy("dist", "id").limit(k)
 
@@ -73,8 +179,7 @@ def recall(found: DataFrame, truth: DataFrame, k: int) -> DataFrame:
 def neighbour_graph(rows: DataFrame, k: int, metric: str = "l2") -> DataFrame:
     """(src, dst, dist, pos): exact k nearest other rows of each row."""
     q = rows.select(F.col("id").alias("qid"), F.col("v").alias("qv"))
-    d = pairs(rows.select("id", "v"), q).where("id <> qid").select("qid", "id", distance(metric, "v", "qv").alias("dist"))
-    return top_k(d, k).select(F.col("qid").alias("src"), F.col("id").alias("dst"), "dist", F.col("rk").alias("pos"))
+    return top_k(block_search(rows, q, k, metric, own=False), k).select(F.col("qid").alias("src"), F.col("id").alias("dst"), "dist", F.col("rk").alias("pos"))
 
 
 def with_reverse(edges: DataFrame, k: int) -> DataFrame:
