@@ -3,6 +3,13 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 keep the columns of documents.  run() writes every stage's result to the shared
 folder and rereads it as the next one's input.
+
+Defined cases of all stages: an empty table gives no rows; null and empty texts
+are judged like any text without words; texts of any length are read whole; rows
+with a null id stay in the near-duplicate stage; repeated rows are judged alike,
+and one of them is kept there; of rows with one id but different texts the links
+of any count for all; columns beyond those of documents are left out, and none
+of their names can clash.
 """
 
 from __future__ import annotations
