@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import l2_squared
 from ..functions.codes import PCA, OneBit, ProductQuantizer, lloyd, random_rotation
 from .search import _matrix, batch_search, block_distances, neighbour_graph, rerank, top_k, with_reverse
 
@@ -236,37 +237,43 @@ def robust_prune(edges: DataFrame, rows: DataFrame, degree: int, alpha: float =
     return full.groupBy("src").applyInPandas(run, "src long, dst long, dist double, pos int")
 
 
+def random_edges(rows: DataFrame, m: int, seed: int = 0) -> DataFrame:
+    """(src, dst): each row's successor in m hash orders of its group of about 1,000; one order's edges pass through the whole group."""
+    ids = rows.select("id")
+    group = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(max(1, ids.count() // 1000)))
+    out = None
+    for s in range(m):
+        w = Window.partitionBy(group).orderBy(F.xxhash64("id", F.lit(seed + s + 1)), "id")
+        step = ids.select(F.col("id").alias("src"), F.lead("id").over(w).alias("dst")).where("dst is not null")
+        out = step if out is None else out.unionByName(step)
+    return out
+
+
 def vamana(rows: DataFrame, degree: int = 16, pool: int = 32, alpha: float = 1.2) -> DataFrame:
-    """Pruned graph: nearest candidates, pruned, with reverse edges, pruned again."""
+    """Pruned graph: nearest candidates, pruned, with reverse edges, pruned again; each node's last edge is a random one, so that clusters hang together."""
     near = neighbour_graph(rows, pool)
-    pruned = robust_prune(near, rows, degree, alpha)
+    pruned = robust_prune(near, rows, degree - 1, alpha)
     both = with_reverse(pruned.select("src", "dst", "dist"), 4 * degree)
-    return robust_prune(both, rows, degree, alpha)
+    kept = robust_prune(both, rows, degree - 1, alpha)
+    v = rows.select("id", F.col("v").cast("array<double>").alias("v"))
+    far = random_edges(rows, 1).join(v.select(F.col("id").alias("src"), F.col("v").alias("a")), "src").join(v.select(F.col("id").alias("dst"), F.col("v").alias("b")), "dst")
+    every = kept.unionByName(far.select("src", "dst", l2_squared("a", "b").alias("dist"), F.lit(degree).cast("int").alias("pos")))
+    return every.groupBy("src", "dst").agg(F.min("dist").alias("dist"), F.min("pos").alias("pos"))
 
 
 def nn_descent(rows: DataFrame, k: int, rounds: int = 6, seed: int = 0, checkpoint=None) -> DataFrame:
     """Approximate k nearest neighbours: random ones, then neighbours of neighbours in both directions, kept by distance. checkpoint: a function that writes and rereads a table between rounds."""
     keep = checkpoint or (lambda df, name: df)
-    ids = rows.select("id")
-    n = ids.count()
-    # consecutive rows of several hash orders: random neighbours without a cross join
-    edges = None
-    for s in range(min(k, max(n - 1, 1))):
-        bucket = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(max(1, n // 1000)))
-        w = Window.partitionBy(bucket).orderBy(F.xxhash64("id", F.lit(seed + s + 1)), "id")
-        step = ids.select(F.col("id").alias("src"), F.lead("id").over(w).alias("dst")).where("dst is not null")
-        edges = step if edges is None else edges.unionByName(step)
+    edges = random_edges(rows, k, seed)
     v = rows.select("id", F.col("v").cast("array<double>").alias("v"))
 
     def scored(pairs: DataFrame) -> DataFrame:
-        from ..functions import l2_squared
-
         return pairs.join(v.select(F.col("id").alias("src"), F.col("v").alias("a")), "src").join(v.select(F.col("id").alias("dst"), F.col("v").alias("b")), "dst").select("src", "dst", l2_squared("a", "b").alias("dist"))
 
     both = lambda e: e.select("src", "dst").unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct()
     graph = keep(top_k(scored(both(edges)), k, "src", "dist", "dst").drop("rk"), "graph0")
     for r in range(rounds):
-        wide = top_k(graph.unionByName(graph.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "dist")).distinct(), 4 * k, "src", "dist", "dst").select("src", "dst")
+        wide = top_k(graph.unionByName(graph.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "dist")).distinct(), 2 * k, "src", "dist", "dst").select("src", "dst")
         hop = wide.select(F.col("src").alias("m"), F.col("dst").alias("x")).join(wide.select(F.col("src").alias("m"), F.col("dst").alias("y")), "m").where("x <> y").select(F.col("x").alias("src"), F.col("y").alias("dst")).distinct()
         new = scored(hop.join(graph, ["src", "dst"], "left_anti"))
         graph = keep(top_k(graph.unionByName(new).distinct(), k, "src", "dist", "dst").drop("rk"), f"graph{r + 1}")
