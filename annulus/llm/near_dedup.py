@@ -3,16 +3,20 @@
 A document's shingles are hashed once; the top bits choose one of REGISTERS
 registers, which keeps the least of the rest as a leading-zero count (6 bits)
 and MANTISSA mantissa bits.  Bands of ROWS_PER_BAND registers are the candidate
-keys: with 32 bands of 4 a pair at a similarity of 0.8 has no common band with
-probability (1 - 0.8**4)**32 = 5e-8.
+keys: with 42 bands of 3 a pair at a similarity of 0.8 has no common band with
+probability (1 - 0.8**3)**42 = 8e-14.  Few shingles fill few bands, so sets of at
+most FEW have exact keys besides: the set, and the set without any one or two
+members as far as the threshold allows; linked sets of at most FEW at 80 percent
+differ in two members at most and always share a key.
 
 Candidates are resolved in rounds that never list all pairs of a group.  First
-documents of one sketch are linked with the least of them; those copies need no
-bands.  Round one links each other document with the least document that shares
+documents of equal shingle sets are linked with the least of them; those copies
+need no bands, as they have the same links.  Documents of one sketch but
+different sets have bands of their own.  Round one links each other document with the least document that shares
 a band with it.  Round two looks only at band groups that still hold several
 components: registers are compared block by block with the collision-corrected
 Jaccard estimate and only pairs across components that may reach the threshold
-leave the task; a group of more than PART rows is spread over tasks that each
+leave the task (a linked pair's estimate is below the bound with probability 1e-12); a group of more than PART rows is spread over tasks that each
 take two of its parts.  Every link is confirmed on the full shingle sets, whose
 shingles are told apart on the words' bytes; components come from alternating
 large-star and small-star steps on written tables.
@@ -37,7 +41,8 @@ from pyspark.sql import functions as F
 from ._blocks import dropped, shared_dir, written
 from ._text import LOWER, U64, column_bytes, distinct_by_doc, exact_shingles, ids_of, mix, shingles, slices, split_words, word_hashes
 
-REGISTERS, MANTISSA, ROWS_PER_BAND = 128, 26, 4
+REGISTERS, MANTISSA, ROWS_PER_BAND = 128, 26, 3
+FEW = 13  # sets of at most so many shingles have exact keys
 SLICE = 1 << 18
 BITS = 1 << 23  # positions of the filter of wanted documents: 1 MB at any scale
 PER_PIVOT = 2000  # documents that one task compares with a pivot before the pivot is salted
@@ -61,11 +66,10 @@ def registers(h: np.ndarray, off: np.ndarray) -> np.ndarray:
         h = mix(h ^ U64(0x5851F42D4C957F2D))
         doc = np.repeat(np.arange(n), np.diff(off))
         slot = doc * REGISTERS + (h >> U64(57)).astype(np.int64)
-        rest = h & U64((1 << 57) - 1)
-        order = np.lexsort((rest, slot))
-        first = np.ones(len(order), dtype=bool)
-        first[1:] = slot[order][1:] != slot[order][:-1]
-        slot, rest = slot[order][first], rest[order][first]
+        least = np.full(n * REGISTERS, U64(1) << U64(57), dtype=U64)
+        np.minimum.at(least, slot, h & U64((1 << 57) - 1))
+        slot = np.flatnonzero(least < U64(1) << U64(57))
+        rest = least[slot]
         # float64 exponent of rest = 57 bits minus leading zeros (exact below 2**53 after the shift)
         length = np.frexp((rest >> U64(4)).astype(np.float64))[1]
         zeros = np.minimum(53 - length, 53)
@@ -86,33 +90,57 @@ def estimate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def sketch(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n_shingles, sketch) of (doc_id, text)."""
+    """(doc_id, n_shingles, digest, digest2, sketch, few) of (doc_id, text); digests of the set, and few: the hashes of a set of at most FEW."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for t, _, _ in slices(batch, "doc_id", "text", SLICE):
                 h, off = shingle_sets(t.off, t.data, size)
                 n, r = np.diff(off), registers(h, off)
-                yield pa.record_batch([t.id_column(), pa.array(n, pa.int64()), pa.array([x.tobytes() if k else None for x, k in zip(r, n)], pa.binary())], names=["doc_id", "n_shingles", "sketch"])
+                digest = [set_sums(mix(h ^ U64(k)), off).view(np.int64) for k in (0x3C6EF372FE94F82B, 0x510E527FADE682D1)]
+                few = [h[a:b].tobytes() if a < b <= a + FEW else None for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
+                yield pa.record_batch([t.id_column(), pa.array(n, pa.int64()), *(pa.array(x) for x in digest), pa.array([x.tobytes() if k else None for x, k in zip(r, n)], pa.binary()), pa.array(few, pa.binary())], names=["doc_id", "n_shingles", "digest", "digest2", "sketch", "few"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, sketch binary")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest long, digest2 long, sketch binary, few binary")
 
 
-def band_keys(sketches: DataFrame) -> DataFrame:
-    """(key, doc_id) for every band that isn't empty."""
+def set_sums(h: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Sums modulo 2**64 by document."""
+    total = np.concatenate([np.zeros(1, dtype=U64), np.cumsum(h, dtype=U64)])
+    return total[off[1:]] - total[off[:-1]]
+
+
+def few_keys(h: np.ndarray, percent: int) -> np.ndarray:
+    """Keys of a small set: its own, and those of it without one or two members, where what is left may be linked with it."""
+    h = mix(h ^ U64(0x1F83D9ABFB41BD6B))
+    out = [h.sum(dtype=U64)[None]]
+    if 100 * (len(h) - 1) >= percent * len(h):
+        out.append(out[0] - h)
+    if 100 * (len(h) - 2) >= percent * len(h):
+        i, j = np.triu_indices(len(h), 1)
+        out.append(out[0] - h[i] - h[j])
+    return mix(np.concatenate(out) + U64(0x5BE0CD19137E2179))
+
+
+def band_keys(sketches: DataFrame, percent: int) -> DataFrame:
+    """(key, doc_id) for every band that isn't empty, and the keys of small sets."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = ids_of(batch.column(0))
-            r = np.frombuffer(column_bytes(batch.column(1))[1].tobytes(), np.uint32).reshape(len(ids), -1, ROWS_PER_BAND)
+            r = np.frombuffer(column_bytes(batch.column(1))[1].tobytes(), np.uint32).reshape(len(ids), REGISTERS)
+            r = r[:, : REGISTERS // ROWS_PER_BAND * ROWS_PER_BAND].reshape(len(ids), -1, ROWS_PER_BAND)
             empty = (r == 0xFFFFFFFF).all(axis=2)
             key = np.arange(r.shape[1], dtype=U64)[None, :] * U64(0x9E3779B97F4A7C15) + U64(7)
             for k in range(ROWS_PER_BAND):
                 key = mix(key ^ r[:, :, k].astype(U64))
             d, b = np.nonzero(~empty)
             yield pa.record_batch([pa.array(key[d, b].view(np.int64)), pa.array(ids[d])], names=["key", "doc_id"])
+            own = [(i, few_keys(np.frombuffer(x, U64), percent)) for i, x in zip(ids.tolist(), batch.column(2).to_pylist()) if x]
+            if own:
+                yield pa.record_batch([pa.array(np.concatenate([k for _, k in own]).view(np.int64)), pa.array(np.repeat([i for i, _ in own], [len(k) for _, k in own]), pa.int64())], names=["key", "doc_id"])
 
-    return sketches.where("sketch is not null and doc_id is not null").select("doc_id", "sketch").mapInArrow(run, "key long, doc_id long")
+    return sketches.where("sketch is not null and doc_id is not null").select("doc_id", "sketch", "few").mapInArrow(run, "key long, doc_id long")
 
 
 def _wanted(ids: DataFrame) -> np.ndarray:
@@ -212,7 +240,7 @@ def components(edges: DataFrame, path: str, name: str) -> DataFrame:
 
 def across(groups: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs (a, b) of a key's rows (key, component, doc_id, n_shingles, sketch) in different components whose estimate may reach the threshold."""
-    spread = 6 * (percent / 100 * (1 - percent / 100)) ** 0.5
+    spread = 8.4 * (percent / 100 * (1 - percent / 100)) ** 0.5
     differ = (100 - percent) / (100 + percent)  # a linked pair differs in at most this share of n_a + n_b shingles
 
     def pairs_of(comp, ids, n, r):
@@ -270,10 +298,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketches = written(sketch(docs, shingle), path, "sketches")
     usable = sketches.where("sketch is not null and doc_id is not null")
-    twins = usable.groupBy("sketch").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("top")).where("b <> top").select("sketch", "b")
-    same = written(usable.join(twins, "sketch").where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct(), path, "pairs0")
-    copies = written(verify(same, docs, shingle, percent), path, "links0")
-    bands = band_keys(usable.join(copies.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_anti"))
+    sets = usable.select("doc_id", "digest", "digest2")
+    # of an id of several texts all sets are looked at
+    single = sets.groupBy("doc_id").agg(F.min("digest").alias("digest"), F.min("digest2").alias("digest2"), F.count_distinct("digest", "digest2").alias("k")).where("k = 1").drop("k")
+    twins = single.groupBy("digest", "digest2").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("top")).where("b <> top").drop("top")
+    same = written(single.join(twins, ["digest", "digest2"]).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b"), path, "pairs0")
+    copies = written(verify(same, docs, shingle, 100), path, "links0")
+    bands = band_keys(usable.join(copies.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_anti"), percent)
     groups = bands.groupBy("key").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("top")).where("b <> top").select("key", "b")
     grouped = written(bands.join(groups, "key").select("key", F.col("doc_id").alias("a"), "b"), path, "groups")
     first = grouped.where("a <> b").groupBy("a").agg(F.min("b").alias("b"))

@@ -89,3 +89,44 @@ def test_components_of_a_long_path(spark, tmp_path):
     edges = spark.createDataFrame(list(zip(ids[:-1], ids[1:])) + [(1000, 1001)], "a long, b long")
     got = dict(N.components(edges, str(tmp_path), "c").collect())
     assert got == {**{i: 0 for i in ids}, 1000: 1000, 1001: 1000}
+
+
+def word_sets(n):
+    words = [f"w{k}" for k in range(n)]
+    one = [N.shingle_sets(np.array([0, len(w)]), np.frombuffer(w.encode(), np.uint8), 1)[0] for w in words]
+    return words, np.concatenate(one)
+
+
+def test_equal_sketches_of_different_sets(spark):
+    """a has b's sketch and one word more; c is linked with a only."""
+    words, h = word_sets(1200)
+    sketch = lambda k: N.registers(np.sort(h[k]), np.array([0, len(k)]))[0].tolist()
+    b = list(range(1000))
+    extra = next(x for x in range(1000, 1200) if sketch([*b, x]) == sketch(b))
+    rows = [(1, b), (2, [*b, extra]), (3, [*b[:800], extra])]
+    df = spark.createDataFrame([(i, " ".join(words[k] for k in ks)) for i, ks in rows], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in N.near_duplicates(df, 1, 80).collect()} == {1: 1, 2: 1, 3: 1}
+
+
+def test_small_sets_in_one_band(spark):
+    """Five words of one band, of which four make another document."""
+    words, h = word_sets(4000)
+    slot = (mix(h ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(57)).astype(int)
+    in_ = lambda k: [w for w, s in zip(words, slot) if s == k]
+    four = [*in_(0)[:2], *in_(1)[:2]]
+    rows = [(1, " ".join([*four, in_(2)[0]])), (2, " ".join(four)), (3, " ".join([*four[:3], in_(2)[1]]))]
+    got = {r.doc_id: r.component_id for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 1, 80).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
+
+
+def test_few_keys_meet_for_every_linked_pair():
+    r = random.Random(4)
+    pool = mix(np.arange(1, 400, dtype=np.uint64))
+    for _ in range(3000):
+        n, m = r.randint(1, N.FEW), r.randint(1, N.FEW)
+        both = r.randint(0, min(n, m))
+        if 100 * both < 80 * (n + m - both):
+            continue
+        k = r.sample(range(len(pool)), n + m - both)
+        a, b = np.sort(pool[k[:n]]), np.sort(pool[k[n - both :]])
+        assert np.intersect1d(N.few_keys(a, 80), N.few_keys(b, 80)).size
