@@ -49,9 +49,10 @@ from ._text import LOWER, U64, Texts, mix, prefix, range_hash, split_words, word
 LEAST, DIVERGENCE, PULL = 4, 0.02, 20.0
 HOT = 1 << 20
 END = U64(0x1F3D5B79A8C6E402)
+FEWEST = 12  # buckets of long contexts, for parallel work
 BUCKET = 1 << 19  # words, contexts or pairs that a bucket gets on average
 FINE, SENT = 2048, 64  # steps of a kept probability's logarithm by nat, and how many of them make a step of a sent one
-STATE = "block long, kept long, state binary"
+STATE = "block long, kept long, open long, state binary"
 
 
 def tokens(t: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -164,34 +165,55 @@ def _code(p: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(-np.log(p) * FINE), 0, 65535).astype(np.int64)
 
 
-class Level:
-    """A block's contexts of one length: positions that have one which may be frequent, distinct contexts, and distinct pairs."""
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct values, the place of one of each, and each element's number."""
+    order = np.argsort(x)
+    y = x[order]
+    new = np.ones(len(y), dtype=bool)
+    new[1:] = y[1:] != y[:-1]
+    at = np.empty(len(y), dtype=np.int64)
+    at[order] = np.cumsum(new) - 1
+    return y[new], order[new], at
+
 
-    def __init__(self, payload: bytes, state: bytes | None, length: int, hot: int, D: float):
-        self.b = b = Tokens.read(payload)
-        if state is None:
-            self.score, self.code, self.n = b.base, _code((b.total + 0.5) / D)[b.inverse], b.total[b.inverse]
+class Level:
+    """A block's contexts of one length: positions that have one which may be frequent, distinct contexts, and distinct pairs.
+
+    It comes from the block's payload at length 1, then from the state that the length before left: all documents' scores; the documents that hold such positions, with sizes, held-out flags and tokens; and of these positions places, codes, counts of the word after the shorter context, and counts of that context.
+    """
+
+    def __init__(self, data: bytes, length: int, hot: int, D: float):
+        if length == 1:
+            b = Tokens.read(data)
+            self.which, self.size, self.out, self.own, self.inverse = np.arange(len(b.ids)), b.size, b.out, b.own, b.inverse
+            n = b.total[b.inverse]
+            pos = np.flatnonzero(n[:-1] >= LEAST) + 1
+            self.score, code, n, before = b.base, _code((b.total + 0.5) / D)[b.inverse[pos]], n[pos], n[pos - 1]
         else:
-            self.score, code, n = B.unpack(state)
-            self.code, self.n = B.from_planes(code, 2).astype(np.int64), B.from_planes(n, 6).astype(np.int64)
-        self.doc = np.repeat(np.arange(len(b.ids)), b.size)
-        off = np.concatenate([[0], np.cumsum(b.size)])
-        before = np.concatenate([[0], self.n[:-1]])
-        self.pos = pos = np.flatnonzero((np.arange(len(self.n)) - off[self.doc] >= length) & (before >= LEAST))
-        h = mix(b.own + U64(1))[b.inverse]
+            self.score, self.which, self.size, self.out, own, inverse, pos, code, n, before = B.unpack(data)
+            self.own, self.inverse = np.cumsum(B.from_planes(own, 6), dtype=U64), B.from_planes(inverse, 4).astype(np.int64)
+            pos = np.cumsum(B.from_planes(pos, 4).astype(np.int64))
+            code, n, before = B.from_planes(code, 2).astype(np.int64), B.from_planes(n, 6).astype(np.int64), B.from_planes(before, 6).astype(np.int64)
+        self.off = off = np.concatenate([[0], np.cumsum(self.size)])
+        doc = np.repeat(np.arange(len(self.size)), self.size)[pos]
+        whole = pos - off[doc] >= length
+        self.pos, self.code, self.doc = pos, code, doc = pos[whole], code[whole], doc[whole]
+        n, before = n[whole], before[whole]
+        h = mix(self.own + U64(1))[self.inverse]
         c = mix(range_hash(prefix(h), pos - length, pos) + U64(length))
-        self.train = np.repeat(b.out == 0, b.size)[pos]
+        train = (self.out == 0)[doc]
         #: words after the context that occurred more than once after the shorter one
-        self.sent = np.flatnonzero(self.n[pos] >= 2)
-        self.hot = np.where(before[pos] >= hot, before[pos], 0) if length <= 2 else np.zeros(len(pos), dtype=np.int64)
+        self.sent = np.flatnonzero(n >= 2)
+        self.hot = np.where(before >= hot, before, 0) if length <= 2 else np.zeros(len(pos), dtype=np.int64)
         if self.hot.any():
             c = np.where(self.hot > 0, mix(c ^ mix(h[pos])), c)
-        self.context, self.at = np.unique(c >> U64(8), return_inverse=True)
-        self.count = np.bincount(self.at, self.train, len(self.context)).astype(np.int64)
-        key = self.at[self.sent].astype(U64) << U64(40) | b.own[b.inverse[pos[self.sent]]]
-        self.pair, first, self.pair_at = np.unique(key, return_index=True, return_inverse=True)
-        self.pair_count = np.bincount(self.pair_at, self.train[self.sent], len(self.pair)).astype(np.int64)
-        self.pair_code = self.code[pos[self.sent[first]]]
+        self.context, _, self.at = _distinct(c >> U64(8))
+        self.count = np.bincount(self.at, train, len(self.context)).astype(np.int64)
+        key = self.at[self.sent].astype(U64) << U64(40) | self.own[self.inverse[pos[self.sent]]]
+        # a word after a context has one code
+        self.pair, first, self.pair_at = _distinct(key)
+        self.pair_count = np.bincount(self.pair_at, train[self.sent], len(self.pair)).astype(np.int64)
+        self.pair_code = code[self.sent[first]]
 
     def slices(self, n: int) -> Iterator[tuple[int, slice, slice]]:
         """Bucket, its contexts and its pairs."""
@@ -204,8 +226,8 @@ class Level:
 
 
 def _send_level(length: int, n: int, D: float):
-    def run(block: int, payload: bytes, state: bytes | None = None):
-        v = Level(payload, state, length, HOT, D)
+    def run(block: int, data: bytes):
+        v = Level(data, length, HOT, D)
         many = np.bincount((v.pair >> U64(40)).astype(np.int64), minlength=len(v.context))
         for k, c, p in v.slices(n):
             yield k, block, 0, B.pack(B.planes(np.diff(v.context[c], prepend=U64(0)), 7), B.planes(v.count[c], 6), B.planes(many[c], 4), B.planes(v.pair[p], 5), B.planes(v.pair_count[p], 6), B.planes((v.pair_code[p] + SENT // 2) // SENT, 2))
@@ -249,9 +271,8 @@ def _deepen(length: int, n: int, D: float):
     """The block's state with the probabilities of this length's kept contexts."""
     pull = PULL / length**2
 
-    def run(block: int, payload: bytes, *rest) -> Iterator[pa.RecordBatch]:
-        *state, replies = rest
-        v = Level(payload, state[0] if state else None, length, HOT, D)
+    def run(block: int, data: bytes, replies) -> Iterator[pa.RecordBatch]:
+        v = Level(data, length, HOT, D)
         kept, loose, pair_n = np.zeros(len(v.context), dtype=np.int64), np.zeros(len(v.context), dtype=np.int64), np.zeros(len(v.pair), dtype=np.int64)
         to = {k: (c, p) for k, c, p in v.slices(n)}
         for _, key, r in replies:
@@ -262,18 +283,27 @@ def _deepen(length: int, n: int, D: float):
         count = np.zeros(len(v.pos), dtype=np.int64)
         count[v.sent] = pair_n[v.pair_at]
         i = np.flatnonzero(total > 0)
-        old = v.code[v.pos[i]]
+        old = v.code[i]
         new = _code((count[i] + weight[i] * np.exp(old / -FINE)) / (total[i] + pull))
         code = v.code.copy()
-        code[v.pos[i]] = new
-        score = v.score + np.bincount(v.doc[v.pos[i]], (old.astype(np.float64) - new) / (FINE * np.log(10)), len(v.score))
-        after = np.zeros(len(code), dtype=np.int64)
-        after[v.pos] = count
-        # what no longer context needs is cleared
-        open_ = np.concatenate([[False], after[:-1] >= LEAST])
-        code[~open_] = 0
-        after[(after < LEAST) & ~open_] = 0
-        yield pa.record_batch([pa.array([block], pa.int64()), pa.array([len(i)], pa.int64()), pa.array([B.pack(score, B.planes(code, 2), B.planes(after, 6))], pa.binary())], names=["block", "kept", "state"])
+        code[i] = new
+        score = v.score + np.bincount(v.which[v.doc[i]], (old.astype(np.float64) - new) / (FINE * np.log(10)), len(v.score))
+        # what no longer context needs is left out; a context of LEAST occurrences was one at this length too
+        before = np.flatnonzero(count[:-1] >= LEAST)
+        before = before[v.pos[before + 1] == v.pos[before] + 1]
+        open_ = before + 1
+        whole = v.pos[open_] - v.off[v.doc[open_]] >= 2 * length
+        open_, before = open_[whole], before[whole]
+        has = np.zeros(len(v.size), dtype=bool)
+        has[v.doc[open_]] = True
+        gone = np.cumsum(np.where(has, 0, v.size))  # tokens of left-out documents up to each
+        inverse = v.inverse[np.repeat(has, v.size)]
+        used = np.zeros(len(v.own), dtype=bool)
+        used[inverse] = True
+        inverse = (np.cumsum(used) - 1)[inverse]
+        pos = v.pos[open_] - gone[v.doc[open_]]
+        left = B.pack(score, v.which[has], v.size[has], v.out[has], B.planes(np.diff(v.own[used], prepend=U64(0)), 6), B.planes(inverse, 4), B.planes(np.diff(pos, prepend=0), 4), B.planes(code[open_], 2), B.planes(count[open_], 6), B.planes(count[before], 6))
+        yield pa.record_batch([pa.array([block], pa.int64()), pa.array([len(i)], pa.int64()), pa.array([len(open_)], pa.int64()), pa.array([left], pa.binary())], names=["block", "kept", "open", "state"])
 
     return run
 
@@ -290,15 +320,17 @@ def score_documents(docs: DataFrame, parts: int = 5, held: int = 1, id_col: str
     D = N + 0.5 * (V + 1)
     blocks = B.bucketed(B.join_blocks(counted, [counts.where("kind = 0")], _numbered(n_words, D), "block long, payload binary"), path, "tokens", tasks)
     B.dropped(spark, path, "counts", "blocks")
-    n, length, level, columns = max(1, round(n_bytes / 8 / BUCKET)), 1, blocks, ("payload",)
+    n, length, level, columns, state = max(1, round(n_bytes / 8 / BUCKET)), 1, blocks, ("payload",), None
     while N:
         known = B.written(B.reduce_buckets(B.map_blocks(level, _send_level(length, n, D), columns), n, _judge(length)), path, f"known{length}", "uncompressed")
         B.dropped(spark, path)
         state = B.bucketed(B.join_blocks(level, [known], _deepen(length, n, D), STATE, columns), path, f"state{length}", tasks)
-        kept = state.agg(F.coalesce(F.sum("kept"), F.lit(0))).first()[0]
+        kept, left = state.agg(F.coalesce(F.sum("kept"), F.lit(0)), F.coalesce(F.sum("open"), F.lit(0))).first()
+        # buckets follow the positions that are left, else blocks send many empty messages
+        n = min(n, max(FEWEST, round(left / BUCKET)))
         B.dropped(spark, path, f"known{length}", f"state{length // 2}")
-        level, columns, length = blocks.join(state, "block"), ("payload", "state"), length * 2
-        if not kept:
+        level, columns, length = state, ("state",), length * 2
+        if not kept or not left:
             break
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,7 +340,8 @@ def score_documents(docs: DataFrame, parts: int = 5, held: int = 1, id_col: str
                 total = B.unpack(batch.column(1)[i].as_py())[0] if batch.num_columns > 1 else b.base
                 yield pa.record_batch([pa.array(b.ids, pa.int64(), mask=b.null.astype(bool)), pa.array(b.out.astype(bool)), pa.array(b.size), pa.array(b.known), pa.array(np.full(len(b.ids), N, dtype=np.int64)), pa.array(b.base), pa.array(total)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return level.select(*columns).mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    scored = blocks.select("payload") if state is None else blocks.join(state, "block").select("payload", "state")
+    return scored.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

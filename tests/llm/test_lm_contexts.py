@@ -89,3 +89,18 @@ def test_words_that_fool_a_polynomial_hash(spark):
     rows = [(i, a) for i in range(20) if zlib.crc32(str(i).encode()) % 5 != 1] + [(100, b)]
     got = {r.doc_id: r.n_known for r in L.score_documents(spark.createDataFrame(rows[:-1] + [(i, b) for i in range(20, 40) if zlib.crc32(str(i).encode()) % 5 == 1], "doc_id long, text string")).collect()}
     assert all(n == (2 if i < 20 else 1) for i, n in got.items()) and len(got) > len(rows) - 1
+
+
+def test_buckets_follow_what_is_left(spark, monkeypatch):
+    """Blocks send to a full number of buckets only while their positions fill them; scores don't depend on it."""
+    monkeypatch.setattr(B, "BLOCK_BYTES", 3000)
+    monkeypatch.setattr(L, "BUCKET", 30)
+    r = random.Random(5)
+    same = " ".join(f"c{r.randrange(200)}" for _ in range(40))
+    rows = [(i, " ".join(f"w{r.randrange(400)}" for _ in range(60)) + (f" {same}" if i < 8 else "")) for i in range(60)]
+    asked, send = [], L._send_level
+    monkeypatch.setattr(L, "_send_level", lambda length, n, D: asked.append((length, n)) or send(length, n, D))
+    got = {x.doc_id: x.score for x in L.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()}
+    want, _, _ = brute(rows, L.DIVERGENCE, L.HOT)
+    assert all(abs(got[i] - want[i]) < 1e-6 for i in want)
+    assert asked[0][1] > 4 * L.FEWEST and asked[-1][0] >= 8 and asked[-1][1] <= L.FEWEST
