@@ -18,10 +18,13 @@ length a block sends its distinct contexts and (context, word) pairs, with
 training counts and the word's probability so far, to the context's bucket, which
 returns the counts of pairs and of the contexts that it keeps.  A pair that
 occurred once at one length isn't sent at the next, nor is a context whose part
-one word shorter was rarer than LEAST.  A context of HOT occurrences, which one
-and two words tell, is kept without a test and its pairs go to buckets of their
-own, so no key gathers more than one row a block and HOT pairs; longer ones that
-frequent have few next words.  Tables are bucketed by block: only counts move, and nothing of the tree
+one word shorter was rarer than LEAST.  Contexts of one or two words with WIDE
+occurrences get the same test in parts: a context and its next word have a bucket
+of their own, so no key gathers more than one row a block and WIDE pairs, and the
+parts' gains and the occurrences without a pair, two whole numbers a context and
+at most N / WIDE contexts, are summed by Spark and meet on the driver; longer
+contexts that frequent have few next words.  WIDE changes no result.  HOT, off
+unless set, keeps contexts of that many occurrences without a test.  Tables are bucketed by block: only counts move, and nothing of the tree
 is on the driver.  Words get numbers, small ones to frequent words; contexts are
 known by 56 bits of their hash.
 
@@ -47,7 +50,8 @@ from . import _blocks as B
 from ._text import LOWER, U64, Texts, mix, prefix, range_hash, split_words, word_hashes
 
 LEAST, DIVERGENCE, PULL = 4, 0.02, 20.0
-HOT = 1 << 20
+HOT, WIDE = 1 << 62, 1 << 20
+GAIN = 1 << 16  # steps of a nat in which parts of a gain are summed
 END = U64(0x1F3D5B79A8C6E402)
 FEWEST = 12  # buckets of long contexts, for parallel work
 BUCKET = 1 << 19  # words, contexts or pairs that a bucket gets on average
@@ -135,6 +139,7 @@ def _total_counts(n: int):
             yield key, block, 0, B.pack(B.planes(number[at[a:b]], 6), B.planes(total[at[a:b]], 6))
         yield int(total.sum()), -1, -1, b""
         yield int((total > 0).sum()), -2, -2, b""
+        yield int(total.max(initial=0)), -3, -3, b""
 
     return run
 
@@ -204,10 +209,18 @@ class Level:
         train = (self.out == 0)[doc]
         #: words after the context that occurred more than once after the shorter one
         self.sent = np.flatnonzero(n >= 2)
-        self.hot = np.where(before >= hot, before, 0) if length <= 2 else np.zeros(len(pos), dtype=np.int64)
-        if self.hot.any():
-            c = np.where(self.hot > 0, mix(c ^ mix(h[pos])), c)
-        self.context, _, self.at = _distinct(c >> U64(8))
+        none = np.zeros(len(pos), dtype=np.int64)
+        self.hot = np.where(before >= hot, before, 0) if length <= 2 else none
+        self.wide = np.where((before >= WIDE) & (self.hot == 0), before, 0) if length <= 2 else none
+        self.parent = c >> U64(8)
+        split = (self.hot > 0) | (self.wide > 0)
+        if split.any():
+            c = np.where(split, mix(c ^ mix(h[pos])), c)
+        self.context, first, self.at = _distinct(c >> U64(8))
+        #: of a wide context's part its context and that one's occurrences, else 0
+        part = self.wide[first] > 0
+        self.part_of, self.part_total = np.where(part, self.parent[first], U64(0)), self.wide[first]
+        self.loose = train & (n < 2) & (self.wide > 0)
         self.count = np.bincount(self.at, train, len(self.context)).astype(np.int64)
         key = self.at[self.sent].astype(U64) << U64(40) | self.own[self.inverse[pos[self.sent]]]
         # a word after a context has one code
@@ -230,21 +243,50 @@ def _send_level(length: int, n: int, D: float):
         v = Level(data, length, HOT, D)
         many = np.bincount((v.pair >> U64(40)).astype(np.int64), minlength=len(v.context))
         for k, c, p in v.slices(n):
-            yield k, block, 0, B.pack(B.planes(np.diff(v.context[c], prepend=U64(0)), 7), B.planes(v.count[c], 6), B.planes(many[c], 4), B.planes(v.pair[p], 5), B.planes(v.pair_count[p], 6), B.planes((v.pair_code[p] + SENT // 2) // SENT, 2))
+            parts = (B.planes(v.part_of[c], 7), B.planes(v.part_total[c], 6)) if v.part_total[c].any() else ()
+            yield k, block, 0, B.pack(B.planes(np.diff(v.context[c], prepend=U64(0)), 7), B.planes(v.count[c], 6), B.planes(many[c], 4), B.planes(v.pair[p], 5), B.planes(v.pair_count[p], 6), B.planes((v.pair_code[p] + SENT // 2) // SENT, 2), *parts)
 
     return run
 
 
-def _judge(length: int):
-    """For each block the counts of kept contexts (0: not kept), how many of these occurrences no pair counts, and the pairs' counts."""
+def _send_loose(length: int, D: float):
+    """Of wide contexts, in key: in block how many of their training occurrences are of words that aren't sent (kind -3), and how many all blocks have (-4)."""
+
+    def run(block: int, data: bytes):
+        v = Level(data, length, HOT, D)
+        context, at = np.unique(v.parent[v.wide > 0], return_inverse=True)
+        total = np.zeros(len(context), dtype=np.int64)
+        total[at] = v.wide[v.wide > 0]
+        for c, k, n in zip(context.tolist(), np.bincount(at, v.loose[v.wide > 0], len(context)).astype(np.int64).tolist(), total.tolist()):
+            yield c, k, -3, b""
+            yield c, n, -4, b""
+
+    return run
+
+
+def _sums(rows: DataFrame, kind: int) -> dict[int, int]:
+    """block summed by key (of kind -4 the same in all), of rows of the kind: one row a wide context."""
+    return {r["key"]: r["n"] for r in rows.where(F.col("kind") == kind).groupBy("key").agg((F.max if kind == -4 else F.sum)("block").alias("n")).toLocalIterator()}
+
+
+def _lookup(x: np.ndarray, table: dict[int, int]) -> np.ndarray:
+    own, at = np.unique(x, return_inverse=True)
+    return np.array([table.get(k, 0) for k in own.tolist()], dtype=np.int64)[at] if len(own) else np.zeros(0, dtype=np.int64)
+
+
+def _judge(length: int, wide: dict[int, int]):
+    """wide: the occurrences of wide contexts that no pair counts; kind -3 has parts of their gains, by context in key, in block.  For each block the counts of kept contexts (0: not kept), how many of these occurrences no pair counts, and the pairs' counts."""
     pull = PULL / length**2
 
     def run(key: int, rows):
         got = []
         for block, _, p in rows:
-            c, count, many, succ, n, code = B.unpack(p)
-            got.append((block, np.cumsum(B.from_planes(c, 7), dtype=U64), B.from_planes(count, 6), B.from_planes(many, 4), B.from_planes(succ, 5), B.from_planes(n, 6), B.from_planes(code, 2)))
-        context, at = np.unique(np.concatenate([g[1] for g in got]), return_inverse=True)
+            c, count, many, succ, n, code, *parts = B.unpack(p)
+            c = np.cumsum(B.from_planes(c, 7), dtype=U64)
+            parts = (B.from_planes(parts[0], 7), B.from_planes(parts[1], 6).astype(np.int64)) if parts else (np.zeros(len(c), dtype=U64), np.zeros(len(c), dtype=np.int64))
+            got.append((block, c, B.from_planes(count, 6), B.from_planes(many, 4), B.from_planes(succ, 5), B.from_planes(n, 6), B.from_planes(code, 2), *parts))
+        context, where, at = np.unique(np.concatenate([g[1] for g in got]), return_index=True, return_inverse=True)
+        part_of, part_total = (np.concatenate([g[k] for g in got])[where] for k in (7, 8))
         total = np.bincount(at, np.concatenate([g[2] for g in got]), len(context))
         own = np.repeat(at, np.concatenate([g[3] for g in got]).astype(np.int64))
         pair, first, pair_at = np.unique(own.astype(U64) << U64(40) | np.concatenate([g[4] for g in got]), return_index=True, return_inverse=True)
@@ -254,11 +296,20 @@ def _judge(length: int):
         # each occurrence is predicted from the others
         loose = total - np.bincount(mine, n, len(context))
         some = n > 0
+        if part_total.any():
+            use = np.flatnonzero(some & (part_total[mine] > 0))
+            all_, many = part_total[mine[use]], n[use]
+            gain = many * np.log((many - 1 + (pull + _lookup(part_of[mine[use]], wide)) * p[use]) / ((all_ - 1 + pull) * p[use]))
+            parents, of = np.unique(part_of[mine[use]], return_inverse=True)
+            steps = np.zeros(len(parents), dtype=np.int64)
+            np.add.at(steps, of, np.rint(gain * GAIN).astype(np.int64))
+            for c, k in zip(parents.tolist(), steps.tolist()):
+                yield c, k, -3, b""
         w = pull + loose[mine[some]]
         gain = np.bincount(mine[some], n[some] * np.log((n[some] - 1 + w * p[some]) / ((total[mine[some]] - 1 + pull) * p[some])), len(context))
         many = np.maximum(total, 1)
         gain += loose * np.log((pull + np.maximum(loose, 1) - 1) / (many - 1 + pull))
-        kept = np.where((total >= LEAST) & (gain >= DIVERGENCE * total), total, 0)
+        kept = np.where((part_total == 0) & (total >= LEAST) & (gain >= DIVERGENCE * total), total, 0)
         cut, pair_cut = np.cumsum([0] + [len(g[1]) for g in got]), np.cumsum([0] + [len(g[4]) for g in got])
         for k, (block, *_) in enumerate(got):
             i = at[cut[k] : cut[k + 1]]
@@ -267,7 +318,14 @@ def _judge(length: int):
     return run
 
 
-def _deepen(length: int, n: int, D: float):
+def _kept_wide(length: int, wide: dict[int, int], total: dict[int, int], gains: dict[int, int]) -> dict[int, int]:
+    """The wide contexts that pass the test, with their occurrences."""
+    pull = PULL / length**2
+    end = {c: wide.get(c, 0) * np.log((pull + max(wide.get(c, 0), 1) - 1) / (total[c] - 1 + pull)) for c in total}
+    return {c: n for c, n in total.items() if gains.get(c, 0) / GAIN + end[c] >= DIVERGENCE * n}
+
+
+def _deepen(length: int, n: int, D: float, wide: dict[int, int], kept_wide: dict[int, int]):
     """The block's state with the probabilities of this length's kept contexts."""
     pull = PULL / length**2
 
@@ -280,6 +338,8 @@ def _deepen(length: int, n: int, D: float):
             kept[c], loose[c], pair_n[p] = (B.from_planes(x, 6).astype(np.int64) for x in B.unpack(r))
         total = np.where(v.hot > 0, v.hot, kept[v.at])
         weight = pull + np.where(v.hot > 0, 0, loose[v.at])
+        if len(w := np.flatnonzero(v.wide > 0)):
+            total[w], weight[w] = _lookup(v.parent[w], kept_wide), pull + _lookup(v.parent[w], wide)
         count = np.zeros(len(v.pos), dtype=np.int64)
         count[v.sent] = pair_n[v.pair_at]
         i = np.flatnonzero(total > 0)
@@ -315,16 +375,22 @@ def score_documents(docs: DataFrame, parts: int = 5, held: int = 1, id_col: str
     tasks = B.parts(n_blocks)
     n_words = max(1, round(n_bytes / 48 / BUCKET))
     counts = B.written(B.reduce_buckets(B.map_blocks(counted, _send_counts(n_words)), n_words, _total_counts(n_words)), path, "counts", "uncompressed")
-    N, V = counts.agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("key"))), F.lit(0)) for k in (-1, -2)]).first()
+    N, V, most = counts.agg(*[F.coalesce(f(F.when(F.col("kind") == k, F.col("key"))), F.lit(0)) for f, k in ((F.sum, -1), (F.sum, -2), (F.max, -3))]).first()
     B.dropped(spark, path)
     D = N + 0.5 * (V + 1)
     blocks = B.bucketed(B.join_blocks(counted, [counts.where("kind = 0")], _numbered(n_words, D), "block long, payload binary"), path, "tokens", tasks)
     B.dropped(spark, path, "counts", "blocks")
     n, length, level, columns, state = max(1, round(n_bytes / 8 / BUCKET)), 1, blocks, ("payload",), None
     while N:
-        known = B.written(B.reduce_buckets(B.map_blocks(level, _send_level(length, n, D), columns), n, _judge(length)), path, f"known{length}", "uncompressed")
+        wide, total, kept_wide = {}, {}, {}
+        if length <= 2 and most >= WIDE:
+            told = B.map_blocks(level, _send_loose(length, D), columns)
+            wide, total = _sums(told, -3), _sums(told, -4)
+        known = B.written(B.reduce_buckets(B.map_blocks(level, _send_level(length, n, D), columns), n, _judge(length, wide)), path, f"known{length}", "uncompressed")
+        if total:
+            kept_wide = _kept_wide(length, wide, total, _sums(known, -3))
         B.dropped(spark, path)
-        state = B.bucketed(B.join_blocks(level, [known], _deepen(length, n, D), STATE, columns), path, f"state{length}", tasks)
+        state = B.bucketed(B.join_blocks(level, [known.where("kind = 0")], _deepen(length, n, D, wide, kept_wide), STATE, columns), path, f"state{length}", tasks)
         kept, left = state.agg(F.coalesce(F.sum("kept"), F.lit(0)), F.coalesce(F.sum("open"), F.lit(0))).first()
         # buckets follow the positions that are left, else blocks send many empty messages
         n = min(n, max(FEWEST, round(left / BUCKET)))

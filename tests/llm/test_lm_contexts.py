@@ -104,3 +104,19 @@ def test_buckets_follow_what_is_left(spark, monkeypatch):
     want, _, _ = brute(rows, L.DIVERGENCE, L.HOT)
     assert all(abs(got[i] - want[i]) < 1e-6 for i in want)
     assert asked[0][1] > 4 * L.FEWEST and asked[-1][0] >= 8 and asked[-1][1] <= L.FEWEST
+
+
+def test_frequent_contexts_are_judged_like_others(spark, monkeypatch):
+    """Scores don't change with the count from which a context's pairs are spread; a frequent context that tells nothing isn't kept."""
+    monkeypatch.setattr(B, "BLOCK_BYTES", 3000)
+    monkeypatch.setattr(L, "BUCKET", 500)
+    monkeypatch.setattr(L, "DIVERGENCE", 0.3)
+    r = random.Random(6)
+    rows = [(i, " ".join(r.choice(["a", "a", "x y", "x z", f"w{r.randrange(60)}", f"once{i}"]) for _ in range(r.randint(0, 60)))) for i in range(150)]
+    want, kept, _ = brute(rows, 0.3, L.HOT)
+    assert not kept["a",] and kept["x",] and sum(t.split().count("a") for _, t in rows) > 1000
+    for wide in (40, 1 << 20):
+        monkeypatch.setattr(L, "WIDE", wide)
+        got = {x.doc_id: x.score for x in L.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+        assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 for i in want)
+    assert L.HOT > 1 << 60
