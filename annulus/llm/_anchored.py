@@ -7,6 +7,7 @@ start at anchors need to be compared.  The context of an anchor (the W - k
 elements before it and W from it, within the document) holds every window that
 the anchor serves.
 
+0. Blocks are written with their anchors and the digests of the contexts.
 1. Each block sends one representative per distinct (k-gram, context), known by
    the gram's hash and a blake2b digest of the context's bytes; a bucket of
    k-grams tells which contexts occur elsewhere (interior of a repeat) and which
@@ -97,11 +98,11 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(x[:-rest], x[rest:]) if rest else x
 
 
-def find_anchors(spec: Windows, t: Texts) -> tuple[Elements, Anchors]:
-    """The block's elements and anchors."""
+def choose_anchors(spec: Windows, t: Texts) -> tuple[np.ndarray, np.ndarray]:
+    """The anchors' elements, ascending, and digests of their contexts."""
     el = spec.elements(t)
     n, W, k, off = len(el.values), spec.window, spec.gram, el.off
-    at, gram = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=U64)
+    at = np.zeros(0, dtype=np.int64)
     if n >= W:
         pre = prefix(el.values)
         gram = mix((pre[k:] - pre[:-k]) * powers(n + 1)[1][: n - k + 1])
@@ -117,10 +118,36 @@ def find_anchors(spec: Windows, t: Texts) -> tuple[Elements, Anchors]:
             at = low[keep].astype(np.int64)
     doc = np.searchsorted(off, at, side="right") - 1
     lo = np.maximum(off[doc], at - (W - k))
-    hi = np.minimum(off[doc + 1], at + W)
-    g = gram[at]
     # where in the context the anchor is belongs to its identity
-    c = mix(digests(el.data.tobytes(), *el.span(lo, hi)) + (at - lo).astype(U64) * U64(0x9E3779B97F4A7C15))
+    return at, mix(digests(el.data.tobytes(), *el.span(lo, np.minimum(off[doc + 1], at + W))) + (at - lo).astype(U64) * U64(0x9E3779B97F4A7C15))
+
+
+def pack_anchored(spec: Windows):
+    """A block: its texts and anchors, which three steps use."""
+
+    def make(t: Texts) -> bytes:
+        at, c = choose_anchors(spec, t)
+        return B.pack(t.ids, t.null.astype(np.uint8), np.diff(t.off), t.data, B.planes(np.diff(at, prepend=0), 4), c)
+
+    return make
+
+
+def read_anchored(payload: bytes) -> tuple[Texts, tuple[np.ndarray, np.ndarray]]:
+    ids, null, size, data, at, c = B.unpack(payload)
+    off = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    return Texts(ids, null.astype(bool), off, data), (np.cumsum(B.from_planes(at, 4).astype(np.int64)), c)
+
+
+def find_anchors(spec: Windows, t: Texts, chosen: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[Elements, Anchors]:
+    """The block's elements and anchors; chosen: what choose_anchors gave."""
+    at, c = choose_anchors(spec, t) if chosen is None else chosen
+    el = spec.elements(t)
+    W, k, off = spec.window, spec.gram, el.off
+    doc = np.searchsorted(off, at, side="right") - 1
+    lo = np.maximum(off[doc], at - (W - k))
+    hi = np.minimum(off[doc + 1], at + W)
+    pre = prefix(el.values)
+    g = mix((pre[at + k] - pre[at]) * powers(len(pre))[1][at])
     ids = t.ids[doc] if len(at) else np.zeros(0, dtype=np.int64)
     order = np.lexsort((at, ids, c, g))
     at, lo, hi, ids, g, c, doc = (x[order] for x in (at, lo, hi, ids, g, c, doc))
@@ -137,7 +164,7 @@ def _groups(keys: list[np.ndarray]) -> np.ndarray:
 
 def send_representatives(spec: Windows, n_buckets: int):
     def run(block: int, payload: bytes):
-        _, a = find_anchors(spec, B.unpack_texts(payload))
+        _, a = find_anchors(spec, *read_anchored(payload))
         f = a.first
         # smaller-id rule: the group's least id and its place; else: whether the group has several places
         told = (a.ids[f], a.place[f].astype(np.uint32)) if spec.earlier else (np.minimum(np.diff(np.append(f, len(a.at))), 2).astype(np.uint8),)
@@ -232,7 +259,7 @@ def send_boundaries(spec: Windows, n_buckets: int, n_second: int, n_spread: int)
     """Second exchange: the bytes around boundary anchors; of hot k-grams their distinct windows."""
 
     def run(block: int, payload: bytes, replies):
-        el, a = find_anchors(spec, B.unpack_texts(payload))
+        el, a = find_anchors(spec, *read_anchored(payload))
         state = verdicts(spec, a, n_buckets, [(k, p) for _, k, p in replies]).state
         g = np.flatnonzero(state & FETCH)
         i = a.first[g]
@@ -438,9 +465,9 @@ class Found(NamedTuple):
     place: np.ndarray
 
 
-def covered(spec: Windows, t: Texts, n_buckets: int, n_spread: int, replies) -> tuple[Elements, Found]:
+def covered(spec: Windows, t: Texts, n_buckets: int, n_spread: int, replies, chosen: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[Elements, Found]:
     """The block's elements and what repeated windows cover."""
-    el, a = find_anchors(spec, t)
+    el, a = find_anchors(spec, t, chosen)
     v = verdicts(spec, a, n_buckets, [(k, p) for kind, k, p in replies if kind == 0])
     n, W, reach = len(el.values), spec.window, spec.window - spec.gram
     mine = a.group
@@ -502,7 +529,7 @@ def covered(spec: Windows, t: Texts, n_buckets: int, n_spread: int, replies) ->
 def search(spec: Windows, docs: DataFrame, id_col: str, text_col: str, density: float, finish, schema: str) -> DataFrame:
     """finish(Texts, Elements, Found) gives the record batches of the result for each block. density: anchors per byte, for the number of buckets only."""
     spark, path = docs.sparkSession, B.shared_dir(docs.sparkSession)
-    blocks, _, n_bytes = B.write_blocks(docs, path, id_col, text_col)
+    blocks, _, n_bytes = B.write_blocks(docs, path, id_col, text_col, pack_anchored(spec))
     n_buckets = max(1, round(n_bytes * density / BUCKET_ROWS))
     known = B.written(B.reduce_buckets(B.map_blocks(blocks, send_representatives(spec, n_buckets)), n_buckets, classify(spec)), path, "known", "uncompressed")
     wanted, split = known.agg(F.coalesce(F.sum(F.when(F.col("kind") == -1, F.col("key"))), F.lit(0)), F.coalesce(F.sum(F.when(F.col("kind") == -2, F.col("key"))), F.lit(0))).first()
@@ -514,7 +541,7 @@ def search(spec: Windows, docs: DataFrame, id_col: str, text_col: str, density:
     decided = B.reduce_buckets(near, n_second + n_spread, decide(spec, n_second))
 
     def last(block: int, payload: bytes, replies) -> list[pa.RecordBatch]:
-        t = B.unpack_texts(payload)
-        return finish(t, *covered(spec, t, n_buckets, n_spread, replies))
+        t, chosen = read_anchored(payload)
+        return finish(t, *covered(spec, t, n_buckets, n_spread, replies, chosen))
 
     return B.join_blocks(blocks, [first, decided], last, schema)

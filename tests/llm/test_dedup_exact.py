@@ -8,6 +8,7 @@ import pytest
 
 from annulus.llm import _anchored as A
 from annulus.llm import substring_dedup, suffix_dedup
+from annulus.llm._text import Texts
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, n_bytes long, kept string"  # clashing extra columns
@@ -180,3 +181,16 @@ def test_factors_are_a_greedy_parse_of_earlier_documents(spark, monkeypatch, blo
             copied += 1
         assert seen == hit  # every window of the reference lies in one factor
     assert copied > 50
+
+
+@pytest.mark.parametrize("m,window,gram", [(suffix_dedup, 30, 7), (substring_dedup, 13, 5)])
+def test_anchors_are_chosen_once_a_block(monkeypatch, m, window, gram):
+    spec = A.Windows(window, gram, m is substring_dedup, m._elements, m._parse, m._value_of)
+    r = random.Random(9)
+    data = [" ".join(f"w{r.randrange(9)}" for _ in range(n)).encode() for n in (0, 3, 40, 300, 90)]
+    t = Texts(np.arange(5), np.zeros(5, dtype=bool), np.cumsum([0] + [len(x) for x in data]), np.frombuffer(b"".join(data), np.uint8))
+    _, want = A.find_anchors(spec, t)
+    payload = A.pack_anchored(spec)(t)
+    monkeypatch.setattr(A, "choose_anchors", None)  # the steps that follow read them
+    _, got = A.find_anchors(spec, *A.read_anchored(payload))
+    assert len(want.at) > 10 and all(np.array_equal(getattr(want, k), getattr(got, k)) for k in vars(want))
