@@ -44,6 +44,7 @@ BUCKET_ROWS = 500_000  # representatives that a bucket gets on average
 BOUNDARY_BYTES = 6 << 20  # bytes of boundary contexts that a bucket gets on average
 HOT = 1 << 15  # boundary contexts of one k-gram from which its windows are spread by their digests
 SORTED, SPREAD = 1 << 30, (1 << 30) + 1  # kinds of the second replies
+STEP = 1 << 13  # anchors whose windows a block marks at once
 
 
 class Elements(NamedTuple):
@@ -486,26 +487,37 @@ def covered(spec: Windows, t: Texts, n_buckets: int, n_spread: int, replies, cho
     ref_at = [np.repeat(np.where(known[i], v.place[mine[i]], a.place[a.first][mine[i]]) - a.at[i], many) + starts[0]]
 
     def add(anchor: np.ndarray, offset: np.ndarray, ids: np.ndarray, place: np.ndarray) -> None:
-        nonlocal edges
         p = a.at[anchor] - offset
-        edges = edges + np.bincount(p, minlength=n + 1) - np.bincount(p + W, minlength=n + 1)
+        np.add(edges, np.bincount(p, minlength=n + 1), out=edges)
+        np.subtract(edges, np.bincount(p + W, minlength=n + 1), out=edges)
         if spec.earlier:
             starts.append(p)
             ref_id.append(ids)
             ref_at.append(place - offset)
 
-    for kind, _, payload in replies:
-        if kind == SORTED:
-            group, bits, *ref = B.unpack(payload)
-            hit = np.unpackbits(bits.reshape(len(group), -1), axis=1)[:, : reach + 1].astype(bool)
-            slot = np.full(len(a.first), -1, dtype=np.int64)
-            slot[group] = np.arange(len(group))
-            own = np.flatnonzero((slot[mine] >= 0) & ~full)
-            e, o = np.nonzero(hit[slot[mine[own]]])
-            number = np.zeros(hit.shape, dtype=np.int64)
-            number[hit] = np.arange(hit.sum())
-            r = number[slot[mine[own[e]]], o]
-            add(own[e], o, *((ref[0][r], ref[1][r].astype(np.int64)) if spec.earlier else (r, r)))
+    # a step costs the block's length, so it takes many anchors and the replies of all buckets
+    told = [B.unpack(p) for kind, _, p in replies if kind == SORTED]
+    if told:
+        group, bits, *ref = (np.concatenate(x) for x in zip(*told))
+        bits = bits.reshape(len(group), -1)
+        slot = np.full(len(a.first), -1, dtype=np.int64)
+        slot[group] = np.arange(len(group))
+        hits = lambda rows: np.unpackbits(bits[rows], axis=1)[:, : reach + 1].astype(bool)
+        begin = np.cumsum([0] + [int(hits(slice(x, x + STEP)).sum()) for x in range(0, len(group), STEP)])
+        own = np.flatnonzero((slot[mine] >= 0) & ~full)
+        own = own[np.argsort(slot[mine[own]], kind="stable")]
+        cut = np.searchsorted(slot[mine[own]], np.arange(0, len(group) + STEP, STEP))
+        for k, x in enumerate(range(0, len(group), STEP)):
+            hit = hits(slice(x, x + STEP))
+            for y in range(cut[k], cut[k + 1], STEP):
+                some = own[y : min(y + STEP, cut[k + 1])]
+                row = slot[mine[some]] - x
+                e, o = np.nonzero(hit[row])
+                r = e
+                if spec.earlier:
+                    number = np.cumsum(hit.ravel()).reshape(hit.shape) - 1 + begin[k]
+                    r = number[row[e], o]
+                add(some[e], o, *((ref[0][r], ref[1][r].astype(np.int64)) if spec.earlier else (r, r)))
     spreads = [(k, p) for kind, k, p in replies if kind == SPREAD]
     if spreads:
         group, o, number, h, _, ids, _, _ = spread_windows(spec, el, a, v.state)
@@ -518,10 +530,15 @@ def covered(spec: Windows, t: Texts, n_buckets: int, n_spread: int, replies, cho
         # a group's representative answers for its anchors that aren't found otherwise
         order = np.argsort(group, kind="stable")
         cut = np.searchsorted(group[order], np.arange(len(a.first) + 1))
-        for anchor in np.flatnonzero((v.state & SPLIT > 0)[mine] & ~full).tolist():
-            w = order[cut[mine[anchor]] : cut[mine[anchor] + 1]]
-            w = w[(a.ids[anchor] > r_id[number[w]]) if spec.earlier else hit[number[w]]]
-            add(np.full(len(w), anchor), o[w], r_id[number[w]], r_at[number[w]])
+        own = np.flatnonzero((v.state & SPLIT > 0)[mine] & ~full)
+        for x in range(0, len(own), STEP):
+            some = own[x : x + STEP]
+            many = cut[mine[some] + 1] - cut[mine[some]]
+            w = order[np.repeat(cut[mine[some]] - np.cumsum(many) + many, many) + np.arange(many.sum())]
+            some = np.repeat(some, many)
+            yes = (a.ids[some] > r_id[number[w]]) if spec.earlier else hit[number[w]]
+            some, w = some[yes], w[yes]
+            add(some, o[w], r_id[number[w]], r_at[number[w]])
     mask = np.cumsum(edges[:-1]) > 0
     return el, Found(mask, np.concatenate(starts), np.concatenate(ref_id), np.concatenate(ref_at))
 

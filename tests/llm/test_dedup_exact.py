@@ -194,3 +194,41 @@ def test_anchors_are_chosen_once_a_block(monkeypatch, m, window, gram):
     monkeypatch.setattr(A, "choose_anchors", None)  # the steps that follow read them
     _, got = A.find_anchors(spec, *A.read_anchored(payload))
     assert len(want.at) > 10 and all(np.array_equal(getattr(want, k), getattr(got, k)) for k in vars(want))
+
+
+@pytest.mark.parametrize("m", [suffix_dedup, substring_dedup])
+def test_marking_costs_a_block_no_more_with_more_buckets(spark, monkeypatch, m):
+    """A block's length is walked as often for one reply as for many, and for one hot anchor as for many."""
+    from annulus.llm import _blocks as B
+
+    spec = A.Windows(13, 5, m is substring_dedup, m._elements, m._parse, m._value_of)
+    r = random.Random(4)
+    passages = [" ".join(f"w{r.randrange(30)}" for _ in range(40)) for _ in range(12)]
+    data = [f"{r.choice(passages)[r.randint(0, 9):]} u{k} {r.choice(passages)}".encode() for k in range(80)]
+    halves = [Texts(np.arange(40) + 40 * k, np.zeros(40, dtype=bool), np.cumsum([0] + [len(x) for x in data[40 * k : 40 * k + 40]]), np.frombuffer(b"".join(data[40 * k : 40 * k + 40]), np.uint8)) for k in range(2)]
+    payloads = [A.pack_anchored(spec)(t) for t in halves]
+
+    def reduced(rows, fn):
+        by = defaultdict(list)
+        for key, block, kind, p in rows:
+            by[key].append((block, kind, p))
+        return [x for key in sorted(by) for x in fn(key, sorted(by[key], key=lambda x: x[:2]))]
+
+    def marks(n_second, hot):
+        monkeypatch.setattr(A, "HOT", hot)
+        known = [x for x in reduced([x for k in range(2) for x in A.send_representatives(spec, 3)(k, payloads[k])], A.classify(spec)) if x[2] == 0]
+        mine = [[(t, k, p) for k, block, t, p in known if block == b] for b in range(2)]
+        near = [x for k in range(2) for batch in A.send_boundaries(spec, 3, n_second, n_second)(k, payloads[k], mine[k]) for x in zip(*(c.to_pylist() for c in batch.columns))]
+        decided = reduced(near, A.decide(spec, n_second))
+        got = [sorted(mine[b] + [(t, k, p) for k, block, t, p in decided if block == b], key=lambda x: x[:2]) for b in range(2)]
+        assert len(got[1]) > n_second
+        walks, bincount = [], np.bincount
+        monkeypatch.setattr(np, "bincount", lambda *x, **y: walks.append(1) or bincount(*x, **y))
+        found = [A.covered(spec, halves[b], 3, n_second, got[b], A.read_anchored(payloads[b])[1])[1] for b in range(2)]
+        monkeypatch.setattr(np, "bincount", bincount)
+        return len(walks), [f.mask.tolist() for f in found]
+
+    (one, mask), (many, same) = marks(1, A.HOT), marks(20, A.HOT)
+    assert sum(map(sum, mask)) > 100 and mask == same and one == many
+    (one, mask), (many, also) = marks(1, 4), marks(20, 4)
+    assert mask == same == also and one == many <= 20
