@@ -101,6 +101,12 @@ def from_planes(x: np.ndarray, size: int) -> np.ndarray:
     return out.view("<u8").ravel().astype(np.uint64)
 
 
+def narrow(x: np.ndarray) -> np.ndarray:
+    """Whole numbers that aren't negative, in the least unsigned type that holds them: cheaper than planes for short arrays."""
+    most = int(x.max(initial=0))
+    return x.astype("<u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4" if most < 1 << 32 else "<u8")
+
+
 def pack_texts(t: Texts) -> bytes:
     return pack(t.ids, t.null.astype(np.uint8), np.diff(t.off), t.data)
 
@@ -119,8 +125,9 @@ def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
     return docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.lit(0))).first()[0]
 
 
-def write_blocks(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", make: Callable[[Texts], bytes] = pack_texts) -> tuple[DataFrame, int, int]:
-    """The documents as bucketed rows (block, payload), payload = make(Texts); the number of blocks, about, and the bytes of text."""
+def write_blocks(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", make: Callable[[Texts], bytes] = pack_texts, times: int = 1, tasks: Callable[[int], int] | None = None) -> tuple[DataFrame, int, int]:
+    """The documents as bucketed rows (block, payload), payload = make(Texts); the number of blocks, about, and the bytes of text. times: blocks are so many times BLOCK_BYTES; tasks: number of blocks to that of partitions, else parts."""
+    limit = times * BLOCK_BYTES
 
     def to_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, n = TaskContext.get().partitionId() << 32, 0
@@ -134,8 +141,8 @@ def write_blocks(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             return row
 
         for batch in batches:
-            for t, _, _ in slices(batch, "id", "text", BLOCK_BYTES):
-                if size and size + len(t.data) > BLOCK_BYTES:
+            for t, _, _ in slices(batch, "id", "text", limit):
+                if size and size + len(t.data) > limit:
                     yield flush()
                 held.append(t)
                 size += len(t.data)
@@ -143,9 +150,9 @@ def write_blocks(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             yield flush()
 
     n_bytes = text_bytes(docs, text_col)
-    n_blocks = max(1, -(-n_bytes // BLOCK_BYTES))
+    n_blocks = max(1, -(-n_bytes // limit))
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    n = parts(n_blocks)
+    n = (tasks or parts)(n_blocks)
     return bucketed(src.mapInArrow(to_blocks, "block long, payload binary").repartition(n, "block"), path, "blocks", n), n_blocks, n_bytes
 
 
@@ -208,6 +215,13 @@ def parts(n_blocks: int, per: int = 4) -> int:
     return max(1, min(n_blocks, 12), -(-n_blocks // per))
 
 
+def halving_parts(n_blocks: int) -> int:
+    """parts, or a few more, so that halves of it down to 12 to 24 are whole numbers."""
+    n = parts(n_blocks)
+    step = 1 << max(0, (n // 12).bit_length() - 1)
+    return -(-n // step) * step
+
+
 class Buckets:
     """Elements by their bucket: only buckets that occur are visited, however many there are."""
 

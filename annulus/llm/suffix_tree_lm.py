@@ -55,6 +55,7 @@ GAIN = 1 << 16  # steps of a nat in which parts of a gain are summed
 END = U64(0x1F3D5B79A8C6E402)
 FEWEST = 12  # buckets of long contexts, for parallel work
 BUCKET = 1 << 19  # words, contexts or pairs that a bucket gets on average
+TIMES = 3  # blocks of so many times the usual bytes: messages, one a block and bucket, are fewer and hold more
 FINE, SENT = 2048, 64  # steps of a kept probability's logarithm by nat, and how many of them make a step of a sent one
 STATE = "block long, kept long, open long, state binary"
 
@@ -187,7 +188,8 @@ class Level:
     It comes from the block's payload at length 1, then from the state that the length before left: all documents' scores; the documents that hold such positions, with sizes, held-out flags and tokens; and of these positions places, codes, counts of the word after the shorter context, and counts of that context.
     """
 
-    def __init__(self, data: bytes, length: int, hot: int, D: float):
+    def __init__(self, data: bytes, length: int, hot: int, wide: int, D: float, wide_only: bool = False):
+        """wide_only: stop at what is known of wide contexts, before anything is sorted."""
         if length == 1:
             b = Tokens.read(data)
             self.which, self.size, self.out, self.own, self.inverse = np.arange(len(b.ids)), b.size, b.out, b.own, b.inverse
@@ -211,8 +213,11 @@ class Level:
         self.sent = np.flatnonzero(n >= 2)
         none = np.zeros(len(pos), dtype=np.int64)
         self.hot = np.where(before >= hot, before, 0) if length <= 2 else none
-        self.wide = np.where((before >= WIDE) & (self.hot == 0), before, 0) if length <= 2 else none
+        self.wide = np.where((before >= wide) & (self.hot == 0), before, 0) if length <= 2 else none
         self.parent = c >> U64(8)
+        self.loose = train & (n < 2) & (self.wide > 0)
+        if wide_only:
+            return
         split = (self.hot > 0) | (self.wide > 0)
         if split.any():
             c = np.where(split, mix(c ^ mix(h[pos])), c)
@@ -220,7 +225,6 @@ class Level:
         #: of a wide context's part its context and that one's occurrences, else 0
         part = self.wide[first] > 0
         self.part_of, self.part_total = np.where(part, self.parent[first], U64(0)), self.wide[first]
-        self.loose = train & (n < 2) & (self.wide > 0)
         self.count = np.bincount(self.at, train, len(self.context)).astype(np.int64)
         key = self.at[self.sent].astype(U64) << U64(40) | self.own[self.inverse[pos[self.sent]]]
         # a word after a context has one code
@@ -240,11 +244,14 @@ class Level:
 
 def _send_level(length: int, n: int, D: float):
     def run(block: int, data: bytes):
-        v = Level(data, length, HOT, D)
+        v = Level(data, length, HOT, WIDE, D)
         many = np.bincount((v.pair >> U64(40)).astype(np.int64), minlength=len(v.context))
         for k, c, p in v.slices(n):
-            parts = (B.planes(v.part_of[c], 7), B.planes(v.part_total[c], 6)) if v.part_total[c].any() else ()
-            yield k, block, 0, B.pack(B.planes(np.diff(v.context[c], prepend=U64(0)), 7), B.planes(v.count[c], 6), B.planes(many[c], 4), B.planes(v.pair[p], 5), B.planes(v.pair_count[p], 6), B.planes((v.pair_code[p] + SENT // 2) // SENT, 2), *parts)
+            parts = ()
+            if v.part_total[c].any():  # wide contexts are few: each once, and by context which it is a part of
+                parent, one, which = np.unique(v.part_of[c], return_index=True, return_inverse=True)
+                parts = (parent, v.part_total[c][one], B.narrow(which))
+            yield k, block, 0, B.pack(B.planes(np.diff(v.context[c], prepend=U64(0)), 7), B.narrow(v.count[c]), B.narrow(many[c]), B.planes(v.pair[p], 5), B.narrow(v.pair_count[p]), B.narrow((v.pair_code[p] + SENT // 2) // SENT), *parts)
 
     return run
 
@@ -253,7 +260,7 @@ def _send_loose(length: int, D: float):
     """Of wide contexts, in key: in block how many of their training occurrences are of words that aren't sent (kind -3), and how many all blocks have (-4)."""
 
     def run(block: int, data: bytes):
-        v = Level(data, length, HOT, D)
+        v = Level(data, length, HOT, WIDE, D, wide_only=True)
         context, at = np.unique(v.parent[v.wide > 0], return_inverse=True)
         total = np.zeros(len(context), dtype=np.int64)
         total[at] = v.wide[v.wide > 0]
@@ -264,9 +271,13 @@ def _send_loose(length: int, D: float):
     return run
 
 
-def _sums(rows: DataFrame, kind: int) -> dict[int, int]:
-    """block summed by key (of kind -4 the same in all), of rows of the kind: one row a wide context."""
-    return {r["key"]: r["n"] for r in rows.where(F.col("kind") == kind).groupBy("key").agg((F.max if kind == -4 else F.sum)("block").alias("n")).toLocalIterator()}
+def _sums(rows: DataFrame, *kinds: int) -> list[dict[int, int]]:
+    """For each kind block summed by key (of kind -4 the same in all): one row a wide context. The rows are made once for all kinds."""
+    found: list[dict[int, int]] = [{} for _ in kinds]
+    total = F.when(F.col("kind") == -4, F.max("block")).otherwise(F.sum("block")).alias("n")
+    for r in rows.where(F.col("kind").isin(*kinds)).groupBy("kind", "key").agg(total).toLocalIterator():
+        found[kinds.index(r["kind"])][r["key"]] = r["n"]
+    return found
 
 
 def _lookup(x: np.ndarray, table: dict[int, int]) -> np.ndarray:
@@ -283,8 +294,8 @@ def _judge(length: int, wide: dict[int, int]):
         for block, _, p in rows:
             c, count, many, succ, n, code, *parts = B.unpack(p)
             c = np.cumsum(B.from_planes(c, 7), dtype=U64)
-            parts = (B.from_planes(parts[0], 7), B.from_planes(parts[1], 6).astype(np.int64)) if parts else (np.zeros(len(c), dtype=U64), np.zeros(len(c), dtype=np.int64))
-            got.append((block, c, B.from_planes(count, 6), B.from_planes(many, 4), B.from_planes(succ, 5), B.from_planes(n, 6), B.from_planes(code, 2), *parts))
+            parts = (parts[0][parts[2]], parts[1][parts[2]]) if parts else (np.zeros(len(c), dtype=U64), np.zeros(len(c), dtype=np.int64))
+            got.append((block, c, count, many, B.from_planes(succ, 5), n, code, *parts))
         context, where, at = np.unique(np.concatenate([g[1] for g in got]), return_index=True, return_inverse=True)
         part_of, part_total = (np.concatenate([g[k] for g in got])[where] for k in (7, 8))
         total = np.bincount(at, np.concatenate([g[2] for g in got]), len(context))
@@ -310,10 +321,11 @@ def _judge(length: int, wide: dict[int, int]):
         many = np.maximum(total, 1)
         gain += loose * np.log((pull + np.maximum(loose, 1) - 1) / (many - 1 + pull))
         kept = np.where((part_total == 0) & (total >= LEAST) & (gain >= DIVERGENCE * total), total, 0)
+        unsent = np.where(kept > 0, loose, 0)
         cut, pair_cut = np.cumsum([0] + [len(g[1]) for g in got]), np.cumsum([0] + [len(g[4]) for g in got])
         for k, (block, *_) in enumerate(got):
             i = at[cut[k] : cut[k + 1]]
-            yield key, block, 0, B.pack(B.planes(kept[i].astype(U64), 6), B.planes(np.where(kept > 0, loose, 0)[i].astype(U64), 6), B.planes(n[pair_at[pair_cut[k] : pair_cut[k + 1]]].astype(U64), 6))
+            yield key, block, 0, B.pack(B.narrow(kept[i]), B.narrow(unsent[i]), B.narrow(n[pair_at[pair_cut[k] : pair_cut[k + 1]]]))
 
     return run
 
@@ -330,12 +342,12 @@ def _deepen(length: int, n: int, D: float, wide: dict[int, int], kept_wide: dict
     pull = PULL / length**2
 
     def run(block: int, data: bytes, replies) -> Iterator[pa.RecordBatch]:
-        v = Level(data, length, HOT, D)
+        v = Level(data, length, HOT, WIDE, D)
         kept, loose, pair_n = np.zeros(len(v.context), dtype=np.int64), np.zeros(len(v.context), dtype=np.int64), np.zeros(len(v.pair), dtype=np.int64)
         to = {k: (c, p) for k, c, p in v.slices(n)}
         for _, key, r in replies:
             c, p = to[key]
-            kept[c], loose[c], pair_n[p] = (B.from_planes(x, 6).astype(np.int64) for x in B.unpack(r))
+            kept[c], loose[c], pair_n[p] = B.unpack(r)
         total = np.where(v.hot > 0, v.hot, kept[v.at])
         weight = pull + np.where(v.hot > 0, 0, loose[v.at])
         if len(w := np.flatnonzero(v.wide > 0)):
@@ -371,8 +383,9 @@ def _deepen(length: int, n: int, D: float, wide: dict[int, int], kept_wide: dict
 def score_documents(docs: DataFrame, parts: int = 5, held: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark, path = docs.sparkSession, B.shared_dir(docs.sparkSession)
-    counted, n_blocks, n_bytes = B.write_blocks(docs, path, id_col, text_col, pack_tokens(parts, held))
-    tasks = B.parts(n_blocks)
+    counted, n_blocks, n_bytes = B.write_blocks(docs, path, id_col, text_col, pack_tokens(parts, held), TIMES, B.halving_parts)
+    tasks = most_tasks = B.halving_parts(n_blocks)
+    first = None
     n_words = max(1, round(n_bytes / 48 / BUCKET))
     counts = B.written(B.reduce_buckets(B.map_blocks(counted, _send_counts(n_words)), n_words, _total_counts(n_words)), path, "counts", "uncompressed")
     N, V, most = counts.agg(*[F.coalesce(f(F.when(F.col("kind") == k, F.col("key"))), F.lit(0)) for f, k in ((F.sum, -1), (F.sum, -2), (F.max, -3))]).first()
@@ -385,15 +398,17 @@ def score_documents(docs: DataFrame, parts: int = 5, held: int = 1, id_col: str
         wide, total, kept_wide = {}, {}, {}
         if length <= 2 and most >= WIDE:
             told = B.map_blocks(level, _send_loose(length, D), columns)
-            wide, total = _sums(told, -3), _sums(told, -4)
+            wide, total = _sums(told, -3, -4)
         known = B.written(B.reduce_buckets(B.map_blocks(level, _send_level(length, n, D), columns), n, _judge(length, wide)), path, f"known{length}", "uncompressed")
         if total:
-            kept_wide = _kept_wide(length, wide, total, _sums(known, -3))
+            kept_wide = _kept_wide(length, wide, total, *_sums(known, -3))
         B.dropped(spark, path)
         state = B.bucketed(B.join_blocks(level, [known.where("kind = 0")], _deepen(length, n, D, wide, kept_wide), STATE, columns), path, f"state{length}", tasks)
         kept, left = state.agg(F.coalesce(F.sum("kept"), F.lit(0)), F.coalesce(F.sum("open"), F.lit(0))).first()
-        # buckets follow the positions that are left, else blocks send many empty messages
-        n = min(n, max(FEWEST, round(left / BUCKET)))
+        # buckets follow the positions that are left, else blocks send many empty messages; so do the state's files and tasks, which still have whole blocks
+        n, first = min(n, max(FEWEST, round(left / BUCKET))), first or left
+        while tasks % 2 == 0 and tasks // 2 >= max(FEWEST, most_tasks * left / max(first, 1)):
+            tasks //= 2
         B.dropped(spark, path, f"known{length}", f"state{length // 2}")
         level, columns, length = state, ("state",), length * 2
         if not kept or not left:

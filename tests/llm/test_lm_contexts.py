@@ -120,3 +120,48 @@ def test_frequent_contexts_are_judged_like_others(spark, monkeypatch):
         got = {x.doc_id: x.score for x in L.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
         assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 for i in want)
     assert L.HOT > 1 << 60
+
+
+def test_late_lengths_use_fewer_tasks_and_blocks_hold_more(spark, monkeypatch):
+    """The state's files follow what is left, and blocks send few messages; scores don't depend on either."""
+    monkeypatch.setattr(B, "BLOCK_BYTES", 400)
+    r = random.Random(7)
+    same = " ".join(f"c{r.randrange(200)}" for _ in range(40))
+    rows = [(i, " ".join(f"w{int(r.paretovariate(0.9)) % 400}" for _ in range(90)) + (f" {same}" if i < 8 else "")) for i in range(500)]
+    asked, write = [], B.bucketed
+    monkeypatch.setattr(B, "bucketed", lambda df, path, name, n: asked.append((name, n)) or write(df, path, name, n))
+    got = {x.doc_id: x.score for x in L.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()}
+    want, _, _ = brute(rows, L.DIVERGENCE, L.HOT)
+    assert all(abs(got[i] - want[i]) < 1e-6 for i in want)
+    n = [n for _, n in asked]
+    assert n[0] == n[1] == n[2] < sum(len(t) for _, t in rows) / 400 / 4 / 2 and 12 <= n[-1] <= n[0] // 2
+    assert B.halving_parts(6) == 6 and [B.halving_parts(k) for k in (400, 4000)] == [104, 1024] and all(B.halving_parts(k) >= B.parts(k) for k in range(1, 3000))
+
+
+def test_messages_hold_counts_of_any_size():
+    import numpy as np
+
+    for most in (0, 255, 256, 65535, 65536, 2**32 - 1, 2**32, 2**62):
+        x = np.array([0, most, most // 3], dtype=np.int64)
+        y = B.unpack(B.pack(B.narrow(x), B.narrow(x[:0])))
+        assert y[0].tolist() == x.tolist() and len(y[1]) == 0 and y[0].itemsize <= 8
+
+
+def test_wide_contexts_are_summed_in_one_pass_without_sorting(spark, monkeypatch):
+    monkeypatch.setattr(L, "WIDE", 40)
+    rows = [(i, "a b a c " * (5 + i)) for i in range(30)]
+    calls, sums, run = [], L._sums, L._send_loose
+    monkeypatch.setattr(L, "_sums", lambda told, *kinds: calls.append(kinds) or sums(told, *kinds))
+    got = {x.doc_id: x.score for x in L.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want, _, _ = brute(rows, L.DIVERGENCE, L.HOT)
+    assert all(abs(got[i] - want[i]) < 1e-6 for i in want)
+    assert calls[:2] == [(-3, -4), (-3,)]  # the blocks are read once for both sums of a length
+    docs = [(i, t.encode()) for i, t in rows]
+    import numpy as np
+
+    t = L.Texts(np.arange(30), np.zeros(30, dtype=bool), np.cumsum([0] + [len(x) for _, x in docs]), np.frombuffer(b"".join(x for _, x in docs), np.uint8))
+    *rest, own, inverse = B.unpack(L.pack_tokens(5, 1)(t))
+    total = np.bincount(B.from_planes(inverse, 4).astype(np.int64))
+    payload = L.Tokens(*rest, np.zeros(30), np.zeros(30, dtype=np.int64), np.arange(len(own), dtype=np.uint64), total, B.from_planes(inverse, 4)).pack()
+    monkeypatch.setattr(L, "_distinct", None)
+    assert list(run(1, 1000.0)(0, payload))
