@@ -12,14 +12,21 @@ differ in two members at most and always share a key.
 Candidates are resolved in rounds that never list all pairs of a group.  First
 documents of equal shingle sets are linked with the least of them; those copies
 need no bands, as they have the same links.  Documents of one sketch but
-different sets have bands of their own.  Round one links each other document with the least document that shares
-a band with it.  Round two looks only at band groups that still hold several
-components: registers are compared block by block with the collision-corrected
-Jaccard estimate and only pairs across components that may reach the threshold
-leave the task (a linked pair's estimate is below the bound with probability 1e-12); a group of more than PART rows is spread over tasks that each
-take two of its parts.  Every link is confirmed on the full shingle sets, whose
-shingles are told apart on the words' bytes; components come from alternating
-large-star and small-star steps on written tables.
+different sets have bands of their own.  Round one compares each other document
+with the least one that heads SHARED of its band groups; what it leaves out falls
+to round two.  That looks only at band groups that still hold several
+components, and there at pairs across components whose sizes allow a link.  A
+second sketch holds, for each of PARITIES slots, whether an odd number of the
+set's shingles falls into it: two sketches differ in at most as many slots as
+the sets differ in shingles, so a pair that differs in more slots than linked
+sets may is refused without loss.  Pairs that are left leave the task if the
+collision-corrected Jaccard estimate on the registers may reach the threshold
+(a linked pair's estimate is below the bound with probability 1e-12).  A group
+of more than PART rows is cut into classes of sizes, of which only neighbours
+meet, and classes above PART into parts, of which each task takes two.  Every
+link is confirmed on the full shingle sets, whose shingles are told apart on the
+words' bytes; components come from alternating large-star and small-star steps
+on written tables.
 
 Defined cases: null, empty and blank texts have no shingles and are linked with
 nothing; fewer words than the shingle size make one shingle; of rows with equal
@@ -29,6 +36,7 @@ null, kept true); further columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -42,11 +50,14 @@ from ._blocks import dropped, shared_dir, written
 from ._text import LOWER, U64, column_bytes, distinct_by_doc, exact_shingles, ids_of, mix, shingles, slices, split_words, word_hashes
 
 REGISTERS, MANTISSA, ROWS_PER_BAND = 128, 26, 3
+PARITIES, FOLDS = 2048, 4  # slots of the second sketch; its folds are laid over each other for a first look
 FEW = 13  # sets of at most so many shingles have exact keys
 SLICE = 1 << 18
 BITS = 1 << 23  # positions of the filter of wanted documents: 1 MB at any scale
 PER_PIVOT = 2000  # documents that one task compares with a pivot before the pivot is salted
-PART = 2048  # rows of a band group in one part
+SHARED = 3  # keys that round one asks of a pair; one with fewer is left to round two, as most have nothing else in common
+SMALL = 64  # rows of a band group up to which it is compared together with others
+PART = 8192  # rows of a band group, or of one part of it, that one task takes whole
 STEPS = 100  # star steps; each at least halves the longest path, so a graph of 2**64 nodes needs fewer
 
 
@@ -89,19 +100,28 @@ def estimate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return np.clip((same / used - chance) / (1 - chance), 0, 1), used, full.sum(axis=-1) - same
 
 
+def parities(h: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Matrix (document, byte) of PARITIES bits: whether an odd number of the set's hashes falls into the slot."""
+    n = len(off) - 1
+    slot = np.repeat(np.arange(n), np.diff(off)) * PARITIES + (mix(h ^ U64(0xA54FF53A5F1D36F1)) % U64(PARITIES)).astype(np.int64)
+    odd = np.zeros(n * PARITIES, dtype=np.uint8)
+    np.add.at(odd, slot, np.uint8(1))  # modulo 256, which keeps the parity
+    return np.packbits(odd.reshape(n, PARITIES) & 1, axis=1)
+
+
 def sketch(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n_shingles, digest, digest2, sketch, few) of (doc_id, text); digests of the set, and few: the hashes of a set of at most FEW."""
+    """(doc_id, n_shingles, digest, digest2, sketch, odd, few) of (doc_id, text); digests of the set, its registers and parities, and few: the hashes of a set of at most FEW."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for t, _, _ in slices(batch, "doc_id", "text", SLICE):
                 h, off = shingle_sets(t.off, t.data, size)
-                n, r = np.diff(off), registers(h, off)
+                n, r, odd = np.diff(off), registers(h, off), parities(h, off)
                 digest = [set_sums(mix(h ^ U64(k)), off).view(np.int64) for k in (0x3C6EF372FE94F82B, 0x510E527FADE682D1)]
                 few = [h[a:b].tobytes() if a < b <= a + FEW else None for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
-                yield pa.record_batch([t.id_column(), pa.array(n, pa.int64()), *(pa.array(x) for x in digest), pa.array([x.tobytes() if k else None for x, k in zip(r, n)], pa.binary()), pa.array(few, pa.binary())], names=["doc_id", "n_shingles", "digest", "digest2", "sketch", "few"])
+                yield pa.record_batch([t.id_column(), pa.array(n, pa.int64()), *(pa.array(x) for x in digest), *(pa.array([x.tobytes() if k else None for x, k in zip(y, n)], pa.binary()) for y in (r, odd)), pa.array(few, pa.binary())], names=["doc_id", "n_shingles", "digest", "digest2", "sketch", "odd", "few"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest long, digest2 long, sketch binary, few binary")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest long, digest2 long, sketch binary, odd binary, few binary")
 
 
 def set_sums(h: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -238,57 +258,93 @@ def components(edges: DataFrame, path: str, name: str) -> DataFrame:
     return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
 
 
-def across(groups: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b) of a key's rows (key, component, doc_id, n_shingles, sketch) in different components whose estimate may reach the threshold."""
+def across(groups: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of a key's rows (key, component, doc_id; g: how many) in different components whose sketches (doc_id, n_shingles, sketch, odd) don't rule out a link."""
     spread = 8.4 * (percent / 100 * (1 - percent / 100)) ** 0.5
     differ = (100 - percent) / (100 + percent)  # a linked pair differs in at most this share of n_a + n_b shingles
 
-    def pairs_of(comp, ids, n, r):
-        order = np.argsort(comp, kind="stable")
-        comp, ids, n, r = comp[order], ids[order], n[order], r[order]
-        for lo in range(0, len(ids), 64):
-            hi = min(lo + 64, len(ids))
-            for at in range(lo, len(ids), 1024):
-                to = min(at + 1024, len(ids))
-                near = np.minimum(n[lo:hi, None], n[None, at:to]) * 100 >= percent * np.maximum(n[lo:hi, None], n[None, at:to])
-                i, j = np.nonzero(near & (comp[lo:hi, None] < comp[None, at:to]))
-                for s in range(0, len(i), 1 << 14):
-                    x, y = i[s : s + (1 << 14)] + lo, j[s : s + (1 << 14)] + at
-                    # each differing shingle can spoil one register, so the second bound loses no link at any size
-                    j_hat, used, apart = estimate(r[x], r[y])
-                    ok = (j_hat >= percent / 100 - spread / np.sqrt(used)) & (apart <= differ * (n[x] + n[y]) + 1e-6)
-                    if ok.any():
-                        yield np.maximum(ids[x[ok]], ids[y[ok]]), np.minimum(ids[x[ok]], ids[y[ok]])
+    def judged(i, j, comp, ids, n, r, odd):
+        use = (comp[i] != comp[j]) & (np.minimum(n[i], n[j]) * 100 >= percent * np.maximum(n[i], n[j]))
+        i, j = i[use], j[use]
+        for s in range(0, len(i), 1 << 12):
+            x, y = i[s : s + (1 << 12)], j[s : s + (1 << 12)]
+            # neither slots nor registers that differ can outnumber the differing shingles, at any size
+            limit = differ * (n[x] + n[y]) + 1e-6
+            use = np.bitwise_count(odd[x] ^ odd[y]).sum(axis=1, dtype=np.int64) <= limit
+            x, y, limit = x[use], y[use], limit[use]
+            j_hat, used, apart = estimate(r[x], r[y])
+            ok = (j_hat >= percent / 100 - spread / np.sqrt(used)) & (apart <= limit)
+            if ok.any():
+                yield pa.record_batch([pa.array(f(ids[x[ok]], ids[y[ok]])) for f in (np.maximum, np.minimum)], names=["a", "b"])
+
+    def within(own, *cols):
+        """Pairs of one group, most of them refused by the folded slots of a block."""
+        order = np.argsort(cols[2], kind="stable")  # rows of a cell's own class come first
+        comp, ids, n, r, odd = (x[order] for x in cols)
+        first = np.ascontiguousarray(np.bitwise_xor.reduce(odd.reshape(len(odd), FOLDS, -1), axis=1).T)
+        most, top = int(own.sum()), np.searchsorted(n, 100 * n // percent, side="right")
+        for lo in range(0, most, 64):
+            hi = min(lo + 64, most)
+            for at in range(lo, int(top[hi - 1]), 512):
+                to = min(at + 512, int(top[hi - 1]))
+                slots = np.zeros((hi - lo, to - at), dtype=np.uint16)
+                for x in first:
+                    slots += np.bitwise_count(x[lo:hi, None] ^ x[None, at:to])
+                i, j = np.nonzero(slots <= differ * (n[lo:hi, None] + n[None, at:to]) + 1e-6)
+                use = i + lo < j + at
+                yield from judged(i[use] + lo, j[use] + at, comp, ids, n, r, odd)
+
+    def small(start, end, own, *cols):
+        """Pairs of all groups start[k]:end[k] at once."""
+        i = np.arange(len(own))
+        g = np.searchsorted(start, i, side="right") - 1
+        last = np.where((g >= 0) & (i < end[g]), end[g], 0)
+        for d in range(1, int((end - start).max(initial=0))):
+            i = i[i + d < last[i]]
+            use = own[i] | own[i + d]
+            yield from judged(i[use], i[use] + d, *cols)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held, last = [], None  # rows of the group that may go on
 
         def flush():
             if held:
-                comp, ids, n = (np.concatenate([x[k] for x in held]) for k in range(3))
-                r = np.concatenate([x[3] for x in held])
+                rows = [np.concatenate(x) for x in zip(*held)]
                 held.clear()
-                for a, b in pairs_of(comp, ids, n, r):
-                    yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
+                yield from within(*rows)
 
-        last = None
         for batch in batches:
-            key, comp, ids, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
-            r = np.frombuffer(column_bytes(batch.column(4))[1].tobytes(), np.uint32).reshape(-1, REGISTERS)
+            key, *cols = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+            cols.append(np.frombuffer(column_bytes(batch.column(5))[1].tobytes(), np.uint32).reshape(-1, REGISTERS))
+            cols.append(np.frombuffer(column_bytes(batch.column(6))[1].tobytes(), U64).reshape(-1, PARITIES // 64))
             cuts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
-            for x, y in zip(cuts[:-1], cuts[1:]):
+            start, end = cuts[:-1], cuts[1:]
+            # the first group may have begun before, and the last one may go on
+            single = np.zeros(len(start), dtype=bool)
+            single[1:-1] = (end - start <= SMALL)[1:-1]
+            if single.any():
+                yield from small(start[single], end[single], *cols)
+            for x, y in zip(start[~single].tolist(), end[~single].tolist()):
                 if x < y:
                     if key[x] != last:
                         yield from flush()
                         last = key[x]
-                    held.append((comp[x:y], ids[x:y], n[x:y], r[x:y]))
+                    held.append([c[x:y] for c in cols])
         yield from flush()
 
-    # a large group's rows go to one of r parts, and every pair of parts to one task
-    size = groups.groupBy("key").agg(F.ceil(F.count("*") / PART).cast("int").alias("r"))
+    # sizes that may be linked lie in one class or in neighbours: in a large group a cell holds a class and, not its own, the next
+    width = max(math.log(100 / percent), 0.01) * (1 + 1e-9)
+    sizes = sketches.groupBy("doc_id").agg(F.explode(F.collect_set("n_shingles")).alias("n_shingles"))
+    large = F.col("g") > PART
+    level = F.floor(F.log("n_shingles") / width).cast("int")
+    cells = F.when(large, F.array(F.struct(level.alias("cell"), F.lit(True).alias("own")), F.struct((level - 1).alias("cell"), F.lit(False).alias("own")))).otherwise(F.array(F.struct(F.lit(0).alias("cell"), F.lit(True).alias("own"))))
+    rows = groups.join(sizes, "doc_id").withColumn("at", F.explode(cells)).select("key", "at.cell", "at.own", "g", "component", "doc_id", "n_shingles")
+    # a large cell's rows go to one of r parts, and every pair of parts to one task; there are at most 1 / PART as many such cells as rows
+    size = rows.where(large).groupBy("key", "cell").agg(F.ceil(F.count("*") / PART).cast("int").alias("r")).where("r > 1")
     mine = F.pmod(F.xxhash64("doc_id"), F.col("r")).cast("int")
-    both = F.explode(F.when(F.col("r") == 1, F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), F.col("r") - 1), lambda o: F.least(o, mine) * F.col("r") + F.greatest(o, mine))))
-    cols = groups.join(size, "key").withColumn("part", both).select(F.xxhash64("key", "part").alias("key"), "component", "doc_id", "n_shingles", "sketch")
+    both = F.explode(F.when(F.col("r").isNull(), F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), F.col("r") - 1), lambda o: F.least(o, mine) * F.col("r") + F.greatest(o, mine))))
+    tasks = rows.join(F.broadcast(size), ["key", "cell"], "left").withColumn("part", both).select(F.xxhash64("key", "cell", "part").alias("key"), "own", "component", "doc_id", "n_shingles")
+    cols = tasks.join(sketches, ["doc_id", "n_shingles"]).select("key", "own", "component", "doc_id", "n_shingles", "sketch", "odd")
     return cols.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
 
 
@@ -307,15 +363,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     bands = band_keys(usable.join(copies.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_anti"), percent)
     groups = bands.groupBy("key").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("top")).where("b <> top").select("key", "b")
     grouped = written(bands.join(groups, "key").select("key", F.col("doc_id").alias("a"), "b"), path, "groups")
-    first = grouped.where("a <> b").groupBy("a").agg(F.min("b").alias("b"))
+    first = grouped.where("a <> b").repartition("a").groupBy("a", "b").count().where(F.col("count") >= SHARED).groupBy("a").agg(F.min("b").alias("b"))
     links = written(verify(written(first, path, "pairs1"), docs, shingle, percent).unionByName(copies), path, "links1")
     dropped(docs.sparkSession, path)
     comp = components(links, path, "one")
     labelled = grouped.select("key", F.col("a").alias("node")).join(comp, "node", "left").select("key", F.col("node").alias("doc_id"), F.coalesce("component", "node").alias("component"))
     labelled = written(labelled, path, "labelled")
-    open_ = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    left = labelled.join(open_, "key").join(sketches.where("sketch is not null"), "doc_id")
-    pairs = written(across(left, percent), path, "pairs2")
+    open_ = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("g")).where("x <> y").select("key", "g")
+    left = labelled.join(open_, "key")
+    pairs = written(across(left, usable.select("doc_id", "n_shingles", "sketch", "odd"), percent), path, "pairs2")
     more = written(verify(pairs, docs, shingle, percent), path, "links2")
     final = components(links.unionByName(more), path, "two")
     out = sketches.select("doc_id", "n_shingles").join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")

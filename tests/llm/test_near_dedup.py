@@ -130,3 +130,55 @@ def test_few_keys_meet_for_every_linked_pair():
         k = r.sample(range(len(pool)), n + m - both)
         a, b = np.sort(pool[k[:n]]), np.sort(pool[k[n - both :]])
         assert np.intersect1d(N.few_keys(a, 80), N.few_keys(b, 80)).size
+
+
+def alike(count):
+    """Documents of one template of 400 words, about 0.65 alike; of the first ten, two and two are linked."""
+    r = random.Random(7)
+    base = [f"t{k}" for k in range(400)]
+    rows = []
+    for i in range(count):
+        w = list(base)
+        for k in r.sample(range(100), 10):
+            w[4 * k] = f"own{i}x{k}"
+        rows.append((i, " ".join(w), 1))
+    for i in range(0, 10, 2):
+        rows[i + 1] = (i + 1, rows[i][1] + f" more{i}", 1)
+    return rows
+
+
+def test_template_sends_few_texts(spark, monkeypatch):
+    """Documents alike but below the threshold must not all be compared by their texts."""
+    sent, verify = [], N.verify
+
+    def counted(pairs, *rest):
+        sent.append(pairs.count())
+        return verify(pairs, *rest)
+
+    monkeypatch.setattr(N, "verify", counted)
+    rows = alike(120)
+    df = spark.createDataFrame(rows, "doc_id long, text string, kept int")
+    got = sorted([tuple(x) for x in N.near_duplicates(df, 4, 80).select("doc_id", "n_shingles", "component_id", "kept").collect()], key=str)
+    assert got == brute(rows, 4, 80)
+    assert sent[2] < 120  # of 7,140 pairs
+
+
+def test_groups_cut_by_size_and_part(spark, monkeypatch):
+    """Groups above PART are cut into cells and parts, and lose no link; so do groups compared one by one."""
+    monkeypatch.setattr(N, "PART", 4)
+    monkeypatch.setattr(N, "SMALL", 2)
+    rows = corpus(3) + [(10000 + i, *x) for i, *x in alike(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kept int").repartition(3)
+    got = sorted([tuple(x) for x in N.near_duplicates(df, 4, 80).select("doc_id", "n_shingles", "component_id", "kept").collect()], key=str)
+    assert got == brute(rows, 4, 80)
+
+
+def test_parities_never_differ_more_than_sets():
+    rng = np.random.default_rng(5)
+    for n in (1, 20, 400, 5000):
+        pool = rng.integers(0, 2**63, 2 * n).astype(np.uint64)
+        for both in (0, n // 2, n * 9 // 10, n):
+            a, b = pool[:n], pool[n - both : 2 * n - both]
+            odd = N.parities(np.concatenate([a, b]), np.array([0, n, 2 * n]))
+            assert odd.shape == (2, N.PARITIES // 8)
+            assert np.bitwise_count(odd[0] ^ odd[1]).sum() <= 2 * (n - both)
