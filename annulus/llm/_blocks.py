@@ -12,7 +12,6 @@ once per block, and the written tables survive the loss of executors.
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -23,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import shared_dir  # noqa: F401 - for the operators
 from ._text import Texts, slices
 
 BLOCK_BYTES = 2 << 20
@@ -31,19 +31,6 @@ ROWS = "key long, block long, kind int, payload binary"
 _SCHEMA = pa.schema([("key", pa.int64()), ("block", pa.int64()), ("kind", pa.int32()), ("payload", pa.binary())])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder inside spark.checkpoint.dir; only local sessions without the setting get a folder of their own."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="annulus-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/annulus-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, path: str, name: str, compression: str = "zstd") -> DataFrame:
     """Write the rows below path and read them back: cuts lineage in the shared folder."""
     at = f"{path}/{name}"
