@@ -25,6 +25,23 @@ def nearest(x, at, k):
     return {(int(q), n + 1, int(i)) for q, row in zip(at, d) for n, i in enumerate(np.lexsort((np.arange(len(x)), row))[:k])}
 
 
+def test_quantised_search_sends_no_pairs(table, monkeypatch):
+    x, rows, q = table
+    monkeypatch.setattr(search, "QUERY_LIMIT", 3)
+    got = statistics.quantised_search(rows, q, 5, 255, 20)
+    assert "Join" not in plan(got) and "Cartesian" not in plan(got)
+    assert {(r.qid, r.rk, r.id) for r in got.collect()} == nearest(x, np.arange(0, 600, 20), 5)
+
+
+@pytest.mark.parametrize("limit", [3, 4096])
+def test_quantised_search_is_exact_where_codes_tell_nothing(spark, table, monkeypatch, limit):
+    x, rows, q = table
+    monkeypatch.setattr(search, "QUERY_LIMIT", limit)
+    far = rows.unionByName(spark.createDataFrame([(10**6, [1e4] * 8)], "id long, v array<double>"))
+    got = statistics.quantised_search(far, q, 5, 255, 20).collect()
+    assert {(r.qid, r.rk, r.id) for r in got} == nearest(x, np.arange(0, 600, 20), 5)
+
+
 def test_graph_sends_no_pairs_of_blocks(table, monkeypatch):
     x, rows, _ = table
     monkeypatch.setattr(search, "QUERY_LIMIT", 3)
