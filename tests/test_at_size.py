@@ -42,6 +42,18 @@ def test_quantised_search_is_exact_where_codes_tell_nothing(spark, table, monkey
     assert {(r.qid, r.rk, r.id) for r in got} == nearest(x, np.arange(0, 600, 20), 5)
 
 
+@pytest.mark.parametrize("limit", [3, 100, 4096])
+def test_cells_are_assigned_without_pairs(table, monkeypatch, limit):
+    x, rows, _ = table
+    monkeypatch.setattr(search, "QUERY_LIMIT", limit)
+    monkeypatch.setattr(statistics, "pairs", None)
+    centres = rows.where("id % 50 = 7").select(F.col("id").alias("cell"), F.col("v").alias("c"))
+    at = np.arange(7, 600, 50)
+    want = at[((x[:, None] - x[at][None]) ** 2).sum(axis=2).argmin(axis=1)]
+    got = {r.id: r.cell for r in statistics.assign_cells(rows, centres).collect()}
+    assert [got[i] for i in range(600)] == want.tolist()
+
+
 def test_graph_sends_no_pairs_of_blocks(table, monkeypatch):
     x, rows, _ = table
     monkeypatch.setattr(search, "QUERY_LIMIT", 3)
