@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 
 from ..functions import l2_squared
 from ..functions.codes import PCA, OneBit, ProductQuantizer, lloyd, random_rotation
-from .search import _matrix, batch_search, block_distances, neighbour_graph, rerank, top_k, with_reverse
+from .search import Nearest, _matrix, batch_search, block_distances, met, neighbour_graph, rerank, stored, top_k, with_reverse
 
 SAMPLE = 20_000
 
@@ -97,9 +97,17 @@ def cells_within(rows: DataFrame, most: int, seed: int = 0, grow: float = 1.5) -
 
 
 def probed_search(rows: DataFrame, cells: DataFrame, centres: np.ndarray, queries: DataFrame, k: int, probes: int, metric: str = "l2") -> DataFrame:
-    """(qid, id, dist, rk): queries meet the rows of their nearest `probes` cells, an equi-join on the cell."""
-    near = cells_of(queries.select(F.col("qid").alias("id"), F.col("qv").alias("v")), centres, probes).select(F.col("id").alias("qid"), "cell")
-    return rerank(near.join(cells.select("id", "cell"), "cell").select("qid", "id"), rows, queries, k, metric)
+    """(qid, id, dist, rk): queries meet the rows of their nearest `probes` cells, by matrix products over a cell's blocks."""
+    if k <= 0:
+        raise ValueError("limit must be positive")
+    near = cells_of(queries.select(F.col("qid").alias("id"), F.col("qv").alias("v")), centres, probes).select(F.col("id").alias("qid"), F.col("cell").alias("part"))
+    kept = rows.where(F.col("v").isNotNull()).select(F.col("id").cast("long"), F.col("v").cast("array<double>"))
+    files: list[list[str]] = [[] for _ in centres]
+    for path in stored(kept.join(cells.select("id", F.col("cell").cast("int").alias("part")), "id")):
+        files[int(path.rsplit("/", 2)[1].split("=")[1])].append(path)
+    # a cell's share of the queries, if they are spread evenly
+    found = met(queries.join(near, "qid").select("qid", "qv", "part"), -(-queries.count() * probes // len(centres)), files, lambda qid, q: Nearest(qid, q, k, metric))
+    return top_k(found.distinct(), k)
 
 
 def pca_fit(rows: DataFrame, k: int) -> PCA:

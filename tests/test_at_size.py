@@ -42,6 +42,23 @@ def test_quantised_search_is_exact_where_codes_tell_nothing(spark, table, monkey
     assert {(r.qid, r.rk, r.id) for r in got} == nearest(x, np.arange(0, 600, 20), 5)
 
 
+def test_probed_search_sends_no_pairs(table, monkeypatch):
+    x, rows, q = table
+    monkeypatch.setattr(index, "rerank", None)
+    c = index.kmeans(rows, 6, seed=1)
+    cell = ((x[:, None] - c[None]) ** 2).sum(axis=2)
+    want = set()
+    for at in range(0, 600, 20):
+        ids = np.flatnonzero(np.isin(cell.argmin(axis=1), np.argsort(cell[at], kind="stable")[:2]))
+        order = np.lexsort((ids, ((x[ids] - x[at]) ** 2).sum(axis=1)))
+        want |= {(at, n + 1, int(i)) for n, i in enumerate(ids[order][:5])}
+    for copies in (1, 2):
+        got = index.probed_search(rows, index.cells_of(rows, c, copies), c, q, 5, 2).collect()
+        assert len(got) == len({(r.qid, r.rk) for r in got}) == 150
+        if copies == 1:
+            assert {(r.qid, r.rk, r.id) for r in got} == want
+
+
 @pytest.mark.parametrize("limit", [3, 100, 4096])
 def test_cells_are_assigned_without_pairs(table, monkeypatch, limit):
     x, rows, _ = table
