@@ -103,16 +103,6 @@ class Params:
         return cls(**{f.name: d[f.name] for f in fields(cls) if f.name in d})
 
 
-def dense_ids(rows: DataFrame, start: int, order: str) -> DataFrame:
-    """internal_id from `start` in the order of a column, without one task for all rows: range partitions are counted first."""
-    numbered = rows.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_m", F.monotonically_increasing_id())
-    part = F.shiftright("_m", 33)
-    from pyspark.sql.window import Window
-
-    counts = numbered.groupBy(part.alias("_p")).agg(F.count("*").alias("_n")).select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))
-    return numbered.join(F.broadcast(counts), part == F.col("_p")).withColumn("internal_id", F.lit(start) + F.col("_before") + F.col("_m").bitwiseAND((1 << 33) - 1)).drop("_m", "_p", "_n", "_before")
-
-
 class Collection:
     """A keyed table with vectors, documents and metadata."""
 
@@ -180,6 +170,12 @@ class Collection:
         self.store.write(f"log/{number}.commit", {"op_id": number, "op": op, "rows": self.spark.read.parquet(path).count(), "next_id": self._next_id() if next_id is None else next_id})
         return number
 
+    def _numbered(self, op: str, rows: DataFrame, start: int, n: int) -> None:
+        """Append rows with internal ids from `start` in the order of `pos`; n ids are used up."""
+        name = f"sorted-{uuid.uuid4().hex}"
+        self._append(op, self._aligned(mutations.numbered(rows, ["pos"], f"{self.store.url}/{name}", "internal_id", start)), start + n)
+        self.store.drop(name)
+
     def _next_id(self) -> int:
         marks = self.committed()
         return max([self._current()["next_id"], *(m["next_id"] for m in marks)])
@@ -228,7 +224,7 @@ class Collection:
         if clash:
             raise ValueError(f"Duplicate item_id: {clash[0][0]}")
         self._schema()
-        self._append("upsert", self._aligned(dense_ids(rows, start, "pos")), start + n)
+        self._numbered("upsert", rows, start, n)
         return n
 
     def upsert(self, items) -> int:
@@ -236,12 +232,12 @@ class Collection:
         rows, n = self._rows(items)
         start = self._next_id()
         self._schema()
-        self._append("upsert", self._aligned(dense_ids(mutations.last_of(rows.withColumn("_o", F.col("pos")), "item_id", "_o"), start, "pos")), start + n)
+        self._numbered("upsert", mutations.last_of(rows.withColumn("_o", F.col("pos")), "item_id", "_o"), start, n)
         return n
 
-    def delete_by_id(self, ids: list) -> None:
-        """Unknown ids are skipped."""
-        keys = self.spark.createDataFrame([(str(i),) for i in ids], "item_id string")
+    def delete_by_id(self, ids: list | DataFrame) -> None:
+        """Ids in a list, or a table's item_id; unknown ones are skipped."""
+        keys = ids.select(F.col("item_id").cast("string")) if isinstance(ids, DataFrame) else self.spark.createDataFrame([(str(i),) for i in ids], "item_id string")
         self._append("delete", self._aligned(keys.join(self.table().select("item_id"), "item_id", "left_semi").distinct()))
 
     def delete_by_filter(self, spec: dict | Filter) -> int:
@@ -349,11 +345,13 @@ class Collection:
 
     def reindex(self) -> None:
         """Rewrite the live rows with fresh dense ids, in their order."""
-        rows = dense_ids(self.table().withColumnRenamed("internal_id", "_old"), 0, "_old")
+        name = f"sorted-{uuid.uuid4().hex}"
+        rows = mutations.numbered(self.table().withColumnRenamed("internal_id", "_old"), ["_old"], f"{self.store.url}/{name}", "internal_id")
         number, n = self._current()["snapshot"] + 1, self.count()
         self._aligned(rows).write.mode("overwrite").parquet(f"{self.store.url}/snapshots/{number}")
         applied = max([self._current()["applied"], *(m["op_id"] for m in self.committed())])
         self.store.write("current.json", {"snapshot": number, "applied": applied, "next_id": n})
+        self.store.drop(name)
 
     def set_metric(self, metric: str) -> None:
         if self.dim is not None:

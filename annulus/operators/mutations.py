@@ -46,6 +46,24 @@ def delete_where(table: DataFrame, spec: dict) -> DataFrame:
     return table.where(~predicate(table, spec))
 
 
+def numbered(rows: DataFrame, order: list[str], at: str, name: str, start: int = 0) -> DataFrame:
+    """Rows with `name`: start, start + 1, ... in the order of some columns, without one task for all rows.
+
+    The sorted ranges are written to the folder `at` once, since a second evaluation
+    of the plan may cut or join ranges otherwise; then each range starts where the
+    ones before it end.
+    """
+    spark = rows.sparkSession
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()).write.parquet(at)
+    held, part = spark.read.parquet(at), F.shiftright("_m", 33)
+    counts = {r["p"]: r["count"] for r in held.groupBy(part.alias("p")).count().collect()}
+    before, total = [], start
+    for p in range(max(counts, default=0) + 1):
+        before.append(total)
+        total += counts.get(p, 0)
+    return held.withColumn(name, F.get(F.lit(before).cast("array<bigint>"), part.cast("int")) + F.col("_m").bitwiseAND((1 << 33) - 1)).drop("_m")
+
+
 def replay(base: DataFrame, log: DataFrame, key: str, applied: int = -1) -> DataFrame:
     """Base with the last operation per key of a log (op_id, op in upsert/delete, columns of base) after `applied`."""
     columns = [c for c in base.columns if c != key]

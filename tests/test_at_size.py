@@ -104,3 +104,18 @@ def test_far_from_the_origin_and_equal_rows(metric):
             d = search.pair_distances(metric, x, np.repeat(q[n : n + 1], len(x), axis=0))
             ok = np.flatnonzero(np.isfinite(d))
             assert [b for a, b in got if a == n] == ids[ok][np.lexsort((ids[ok], d[ok]))][:6].tolist()
+
+
+def test_no_row_of_a_large_insert_is_lost(spark, tmp_path):
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        c = Client(spark, str(tmp_path)).create_collection("a", capacity=10**6)
+        c.insert(spark.range(20_000).select(F.col("id").alias("item_id"), F.sha2(F.col("id").cast("string"), 512).alias("document"), F.array(F.col("id").cast("double"), F.lit(1.0)).alias("embedding"), F.col("id").alias("pos")))
+        assert c.table().where("internal_id = CAST(item_id AS BIGINT)").count() == 20_000
+        c.delete_by_id(c.table().where("internal_id % 2 = 0"))
+        assert c.count() == 10_000 and not [n for n in c.store.names() if n.startswith("sorted")]
+    finally:
+        for name, value in (("adaptive.advisoryPartitionSizeInBytes", None), ("adaptive.coalescePartitions.parallelismFirst", None), ("shuffle.partitions", "4")):
+            spark.conf.set(f"spark.sql.{name}", value) if value else spark.conf.unset(f"spark.sql.{name}")
