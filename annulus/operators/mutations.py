@@ -46,15 +46,17 @@ def delete_where(table: DataFrame, spec: dict) -> DataFrame:
     return table.where(~predicate(table, spec))
 
 
-def numbered(rows: DataFrame, order: list[str], at: str, name: str, start: int = 0) -> DataFrame:
-    """Rows with `name`: start, start + 1, ... in the order of some columns, without one task for all rows.
+def numbered(rows: DataFrame, order: list, at: str, name: str, start: int = 0, ranges: list | None = None) -> DataFrame:
+    """Rows with `name`: start, start + 1, ... in an order, without one task for all rows. ranges: columns of the same order that cost less.
 
     The sorted ranges are written to the folder `at` once, since a second evaluation
     of the plan may cut or join ranges otherwise; then each range starts where the
     ones before it end.
     """
     spark = rows.sparkSession
-    rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()).write.parquet(at)
+    keys = {f"_k{i}": F.col(c) if isinstance(c, str) else c for i, c in enumerate(order)}
+    placed = rows.repartitionByRange(*(ranges or order)).withColumns(keys)
+    placed.sortWithinPartitions(*keys).drop(*keys).withColumn("_m", F.monotonically_increasing_id()).write.parquet(at)
     held, part = spark.read.parquet(at), F.shiftright("_m", 33)
     counts = {r["p"]: r["count"] for r in held.groupBy(part.alias("p")).count().collect()}
     before, total = [], start

@@ -106,6 +106,14 @@ def test_far_from_the_origin_and_equal_rows(metric):
             assert [b for a, b in got if a == n] == ids[ok][np.lexsort((ids[ok], d[ok]))][:6].tolist()
 
 
+def test_numbers_are_whole_whatever_the_partitions(spark, tmp_path):
+    rows = spark.range(5000).select((F.col("id") * 7 % 5000).alias("pos"), (F.col("id") % 3).alias("k"))
+    got = mutations.numbered(rows, ["k", "pos"], str(tmp_path / "s"), "n", 1)
+    assert "Window" not in plan(got)
+    want = {(k, p): n for n, (k, p) in enumerate(sorted((r.k, r.pos) for r in rows.collect()), 1)}
+    assert {(r.k, r.pos): r.n for r in got.collect()} == want
+
+
 def test_no_row_of_a_large_insert_is_lost(spark, tmp_path):
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
