@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
+
+SLICE = 64  # texts that are cut at once
 
 # Python's classes, which its pattern `(?<!\w\.\w.)(?<![A-Z][a-z]\.)(?<=\.|\?|\!|。|？|！)\s*` means, in Java's syntax
 _WORD = r"[\p{L}\p{N}_]"
@@ -54,15 +59,26 @@ def merged_lines(text: str, size: int, overlap: int) -> list[str]:
     return chunks
 
 
+def by_slices(df: DataFrame, text: str, out: str, kind: str, fn) -> DataFrame:
+    """df with `out`, a function of lists of at most SLICE texts; a slice's results leave Python before the next is made."""
+    kept = df.drop(out)
+    schema = T.StructType(kept.schema.fields + [T.StructField(out, T._parse_datatype_string(kind))])
+    at, made = kept.columns.index(text), to_arrow_type(schema[-1].dataType)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, SLICE):
+                part = batch.slice(a, SLICE)
+                yield pa.record_batch([*part.columns, pa.array(fn(part.column(at).to_pylist()), made)], names=schema.names)
+
+    return kept.mapInArrow(run, schema)
+
+
 def fix_size_chunks(df: DataFrame, text: str, size: int, overlap: int = 0) -> DataFrame:
     if size <= 0 or not 0 <= overlap <= size:
         raise ValueError("overlap must not be larger than the chunk size")
 
-    @F.pandas_udf("array<string>")
-    def chunks(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else merged_lines(t, size, overlap))
-
-    return df.withColumn("chunks", chunks(F.col(text)))
+    return by_slices(df, text, "chunks", "array<string>", lambda texts: [None if t is None else merged_lines(t, size, overlap) for t in texts])
 
 
 def get_chunker(name: str):
@@ -106,18 +122,14 @@ def semantic_chunks(df: DataFrame, text: str, size: int = 3, overlap: int = 0, t
     """Runs of sentences (split at full stops) of one topic; `size` is the window. encoder: an object with encode(texts)."""
     model = encoder or HashEncoder()
 
-    @F.pandas_udf("array<string>")
-    def chunks(texts: pd.Series) -> pd.Series:
-        def one(t):
-            if t is None:
-                return None
-            parts = [s.strip() + "." for s in t.split(".") if s.strip()]
-            cuts = semantic_cuts(model.encode(parts), threshold, size) if parts else []
-            return [" ".join(parts[a:b]) for a, b in zip([0, *cuts], cuts) if b > a]
+    def one(t):
+        if t is None:
+            return None
+        parts = [s.strip() + "." for s in t.split(".") if s.strip()]
+        cuts = semantic_cuts(model.encode(parts), threshold, size) if parts else []
+        return [" ".join(parts[a:b]) for a, b in zip([0, *cuts], cuts) if b > a]
 
-        return texts.map(one)
-
-    return df.withColumn("chunks", chunks(F.col(text)))
+    return by_slices(df, text, "chunks", "array<string>", lambda texts: [one(t) for t in texts])
 
 
 EMBEDDERS: dict[str, object] = {"hash": HashEncoder}
@@ -134,8 +146,4 @@ def get_embedder(name: str = "hash", **options):
 def embedded(df: DataFrame, text: str, encoder=None, out: str = "v") -> DataFrame:
     model = encoder or HashEncoder()
 
-    @F.pandas_udf("array<double>")
-    def vectors(texts: pd.Series) -> pd.Series:
-        return pd.Series(list(model.encode([t or "" for t in texts])), index=texts.index)
-
-    return df.withColumn(out, vectors(F.col(text)))
+    return by_slices(df, text, out, "array<double>", lambda texts: list(model.encode([t or "" for t in texts])))

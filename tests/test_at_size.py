@@ -127,3 +127,12 @@ def test_no_row_of_a_large_insert_is_lost(spark, tmp_path):
     finally:
         for name, value in (("adaptive.advisoryPartitionSizeInBytes", None), ("adaptive.coalescePartitions.parallelismFirst", None), ("shuffle.partitions", "4")):
             spark.conf.set(f"spark.sql.{name}", value) if value else spark.conf.unset(f"spark.sql.{name}")
+
+
+def test_texts_are_cut_by_slices(spark):
+    texts = [None if i % 50 == 3 else f"Apples are red. They grow. {i} stars. Planets turn. Far away." * (i % 3) for i in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1)
+    got = chunkers.semantic_chunks(df, "t", 1)
+    assert "MapInArrow" in plan(got)  # results leave by slices; a pandas function holds those of a whole batch
+    for r in got.collect():
+        assert r.chunks is None if r.t is None else " ".join(r.chunks) == " ".join(s.strip() + "." for s in r.t.split(".") if s.strip())
